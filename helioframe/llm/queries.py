@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from helioframe.llm import mixing, rules, simhash, tokens
+from helioframe.llm import mixing, quality, rules, simhash, tokens, toxicity
 from helioframe.llm.common import table
 
 QUERIES = {
+    "op3_quality": lambda spark, sf: quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels")),
+    "op4_toxicity": lambda spark, sf: toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op6_tokens": lambda spark, sf: tokens.digest(table(spark, sf, "documents")),
     "op7_rules": lambda spark, sf: rules.digest(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op8_mixing": lambda spark, sf: mixing.digest(table(spark, sf, "documents")),
