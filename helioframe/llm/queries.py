@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from helioframe.llm import mixing, quality, rules, simhash, tokens, toxicity
+from helioframe.llm import decontaminate, fixity, mixing, quality, rules, simhash, tokens, toxicity
 from helioframe.llm.common import table
 
 QUERIES = {
     "op3_quality": lambda spark, sf: quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op4_toxicity": lambda spark, sf: toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels")),
+    "op5_fixity": lambda spark, sf: fixity.digest(table(spark, sf, "pages")),
     "op6_tokens": lambda spark, sf: tokens.digest(table(spark, sf, "documents")),
     "op7_rules": lambda spark, sf: rules.digest(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op8_mixing": lambda spark, sf: mixing.digest(table(spark, sf, "documents")),
+    "op9_decontaminate": lambda spark, sf: decontaminate.digest(table(spark, sf, "documents"), table(spark, sf, "benchmark")),
     "op10_simhash": lambda spark, sf: simhash.near_duplicates(table(spark, sf, "documents")),
 }
 
-ORACLE_SQL = {"op8_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op5_fixity": fixity.ORACLE, "op8_mixing": mixing.ORACLE}
