@@ -65,6 +65,16 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def where_late(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition), evaluated after df's own columns.
+
+    Pushed below a projection, a condition on a computed array has the array's expression in place of its name, also
+    inside lambdas, where it would be computed again for every element. A row number that the condition looks at keeps
+    it above.
+    """
+    return df.withColumn("__late", F.monotonically_increasing_id()).where(condition & (F.col("__late") >= 0)).drop("__late")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helioframe.llm.common import stage
+from helioframe.llm.common import stage, where_late
 
 SHINGLE, SIMILARITY, RADIUS, BLOCK_BITS = 5, 0.8, 24, 8
 BLOCKS = 64 // BLOCK_BITS
@@ -53,7 +53,7 @@ def weighted_similarity(a: Column, b: Column) -> Column:
 
 def _items(benchmark: DataFrame) -> DataFrame:
     words = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("w")).where("size(w) > 0")
-    return words.withColumn("k", F.least(F.lit(SHINGLE), F.size("w")))
+    return words.withColumn("k", F.least(F.lit(SHINGLE), F.size("w")))  # a few rows; staged before they are used
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def _contaminated(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     rows = rows.select("doc_id", "text_hash", shingles(F.col("w"), k).alias("s"))
     if n_seeds <= CONSTANT_SEEDS:
         values = [r[0] for r in seeds.select("h").distinct().collect()]
-        held = rows.where(F.arrays_overlap("s", F.from_json(F.lit(str(values)), "array<bigint>")))
+        held = where_late(rows, F.arrays_overlap("s", F.from_json(F.lit(str(values)), "array<bigint>")))
     else:
         keys = seeds.select("h").distinct()
         hit = rows.select("doc_id", "text_hash", F.explode("s").alias("h")).join(F.broadcast(keys) if n_seeds <= BROADCAST_SEEDS else keys, "h", "left_semi")
@@ -114,7 +114,7 @@ def _contaminated(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     joined = keyed.join(F.broadcast(probes) if probes.count() <= BROADCAST_PROBES else probes, ["item_id", "b", "v"])
     near = joined.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("item_id", "key").distinct()
     checked = window.join(near, ["item_id", "key"]).join(item.select("item_id", F.col("s").alias("t")), "item_id")
-    good = stage(checked.withColumn("similarity", weighted_similarity(F.col("s"), F.col("t"))).where(F.col("similarity") >= SIMILARITY).select("item_id", "key", "similarity"), "verified")
+    good = stage(where_late(checked.withColumn("similarity", weighted_similarity(F.col("s"), F.col("t"))), F.col("similarity") >= SIMILARITY).select("item_id", "key", "similarity"), "verified")
     best = placed.select("doc_id", "text_hash", "item_id", "start", "key").join(good, ["item_id", "key"])
     best = best.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("m"))
     return best.select("doc_id", "item_id", "m.similarity", (-F.col("m.s")).alias("start"), "text_hash")

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helioframe.llm.common import words
+from helioframe.llm.common import where_late, words
 
 BUCKETS = 8192
 #: At most so many trusted rows (least by hash of their id) make up the target; their ids are broadcast.
@@ -107,4 +107,4 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with their columns."""
-    return measure(docs, fit(docs, trusted_of(labels))).where(_n("kept")).select(docs.columns)
+    return where_late(measure(docs, fit(docs, trusted_of(labels))), _n("kept")).select(docs.columns)
