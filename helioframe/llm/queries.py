@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from helioframe.llm import decontaminate, fixity, lines, mixing, quality, rules, simhash, tokens, toxicity
+from helioframe.llm import decontaminate, fixity, lines, mixing, quality, rules, simhash, suffixes, tokens, toxicity
 from helioframe.llm.common import table
 
 QUERIES = {
     "op1_lines": lambda spark, sf: lines.digest(table(spark, sf, "documents")),
+    "op2_suffixes": lambda spark, sf: suffixes.digest(table(spark, sf, "documents")),
     "op3_quality": lambda spark, sf: quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op4_toxicity": lambda spark, sf: toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op5_fixity": lambda spark, sf: fixity.digest(table(spark, sf, "pages")),
