@@ -29,6 +29,11 @@ def _like(img: Column, data: Column, height: Column | None = None, width: Column
     return F.struct((img["height"] if height is None else height).alias("height"), (img["width"] if width is None else width).alias("width"), img["channels"].alias("channels"), (img["dtype"] if dtype is None else F.lit(dtype)).alias("dtype"), data.alias("data"))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once: a projection may be inlined, also into a lambda, where it would run for every pixel."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clamp(x: Column, low: Column, high: Column) -> Column:
     """x within limits; a NaN stays NaN."""
     return F.when(F.isnan(x), x).otherwise(F.greatest(low, F.least(high, x)))
@@ -56,16 +61,24 @@ def bytescale_image(img: Column, imin: Column | float | None = None, imax: Colum
     """
     if not 0 <= omin <= omax <= 255:
         raise ValueError("output limits must lie within 0 and 255")
-    own_low, own_high = value_range(img)
-    low = own_low if imin is None else F.lit(imin).cast("double")
-    high = own_high if imax is None else F.lit(imax).cast("double")
-    low = F.when(low >= high, F.raise_error(F.lit("imin must be less than imax")).cast("double")).otherwise(low)
 
-    def one(x: Column) -> Column:
-        y = (x - low) / (high - low) * float(omax - omin) + float(omin)
-        return F.when(F.isnan(x) | low.isNull() | high.isNull(), 0.0).otherwise(F.floor(F.greatest(F.lit(float(omin)), F.least(F.lit(float(omax)), y))).cast("double"))
+    def scaled(b: Column) -> Column:
+        low, high = b["low"], b["high"]
+
+        def one(x: Column) -> Column:
+            y = (x - low) / (high - low) * float(omax - omin) + float(omin)
+            return F.when(F.isnan(x) | low.isNull() | high.isNull(), 0.0).otherwise(F.floor(F.greatest(F.lit(float(omin)), F.least(F.lit(float(omax)), y))).cast("double"))
 
-    return _like(img, F.transform(img["data"], one), dtype="uint8")
+        return F.transform(b["data"], one)
+
+    def checked(im: Column) -> Column:
+        own_low, own_high = value_range(im)
+        low = own_low if imin is None else F.lit(imin).cast("double")
+        high = own_high if imax is None else F.lit(imax).cast("double")
+        fail = F.raise_error(F.lit("imin must be less than imax")).cast("double")
+        return bound(F.struct(F.when(low >= high, fail).otherwise(low).alias("low"), high.alias("high"), im["data"].alias("data")), scaled)
+
+    return bound(img, lambda im: _like(im, checked(im), dtype="uint8"))
 
 
 def _size(size: int | tuple[int, int]) -> tuple[int, int]:
@@ -97,12 +110,19 @@ def annulus_mask(image_size: int | tuple[int, int], inner_radius: float, outer_r
 
 def apply_mask(img: Column, mask: Column, fill: float = 0.0) -> Column:
     """The image where the mask holds, else the fill; every channel alike."""
-    keep = F.transform(img["data"], lambda v, i: F.when(F.get(mask, F.floor(i / img["channels"]).cast("int")), v).otherwise(float(fill)))
-    return _like(img, keep)
+    def shown(b: Column) -> Column:
+        im, m = b["im"], b["m"]
+        return _like(im, F.transform(im["data"], lambda v, i: F.when(F.get(m, F.floor(i / im["channels"]).cast("int")), v).otherwise(float(fill))))
+
+    return bound(F.struct(img.alias("im"), mask.alias("m")), shown)
 
 
-def _moved(img: Column, size: tuple[int, int], top: Column, left: Column, fill: float) -> Column:
-    """An image of this size whose pixel (y, x) is the source's (y - top, x - left), or the fill outside it."""
+def _moved(img: Column, size: tuple[int, int], places, fill: float) -> Column:
+    """An image of this size whose pixel (y, x) is the source's (y - top, x - left), or the fill outside it; (top, left) = places(img)."""
+    return bound(img, lambda im: bound(F.struct(im.alias("im"), *[x.cast("int").alias(n) for n, x in zip(("top", "left"), places(im))]), lambda b: _gathered(b["im"], size, b["top"], b["left"], fill)))
+
+
+def _gathered(img: Column, size: tuple[int, int], top: Column, left: Column, fill: float) -> Column:
     h, w = size
     c = img["channels"]
 
@@ -117,10 +137,13 @@ def _moved(img: Column, size: tuple[int, int], top: Column, left: Column, fill:
 def pad_image(img: Column, target_size: int | tuple[int, int], pad_value: float = 0, center: bool = True) -> Column:
     """The image inside a larger one; an odd pixel goes to the bottom and right. A smaller target is an error."""
     h, w = _size(target_size)
-    top = F.floor((F.lit(h) - img["height"]) / 2) if center else F.lit(0)
-    left = F.floor((F.lit(w) - img["width"]) / 2) if center else F.lit(0)
-    top = F.when((img["height"] > h) | (img["width"] > w), F.raise_error(F.lit("target size is smaller than the image")).cast("bigint")).otherwise(top)
-    return _moved(img, (h, w), top, left, pad_value)
+
+    def places(im: Column) -> tuple[Column, Column]:
+        top = F.floor((F.lit(h) - im["height"]) / 2) if center else F.lit(0).cast("bigint")
+        fail = F.raise_error(F.lit("target size is smaller than the image")).cast("bigint")
+        return F.when((im["height"] > h) | (im["width"] > w), fail).otherwise(top), F.floor((F.lit(w) - im["width"]) / 2) if center else F.lit(0)
+
+    return _moved(img, (h, w), places, pad_value)
 
 
 def crop_or_pad(img: Column, target_size: int | tuple[int, int], pad_value: float = 0, center: bool = True) -> Column:
@@ -132,7 +155,7 @@ def crop_or_pad(img: Column, target_size: int | tuple[int, int], pad_value: floa
             return F.lit(0)
         return F.when(have > want, -F.floor((have - want) / 2)).otherwise(F.floor((F.lit(want) - have) / 2))
 
-    return _moved(img, (h, w), shift(img["height"], h), shift(img["width"], w), pad_value)
+    return _moved(img, (h, w), lambda im: (shift(im["height"], h), shift(im["width"], w)), pad_value)
 
 
 def _sampled(img: Column, height: int, width: int, at, order: int, cval: float) -> Column:
@@ -160,7 +183,9 @@ def _sampled(img: Column, height: int, width: int, at, order: int, cval: float)
 
 def kept_range(img: Column, preserve: bool) -> Column:
     """Values as the image's kind holds them, or, without preserving, float64."""
-    return _like(img, F.transform(img["data"], lambda v: as_kind(v, img["dtype"]))) if preserve else _like(img, img["data"], dtype="float64")
+    if not preserve:
+        return bound(img, lambda im: _like(im, im["data"], dtype="float64"))
+    return bound(img, lambda im: _like(im, F.transform(im["data"], lambda v: as_kind(v, im["dtype"]))))
 
 
 def resize_image(img: Column, size: tuple[int, int], order: int = 1, preserve_range: bool = True) -> Column:
@@ -169,13 +194,17 @@ def resize_image(img: Column, size: tuple[int, int], order: int = 1, preserve_ra
     if order in (2, 3):
         from helioframe.functions.splines import resized
 
-        return kept_range(resized(img, h, w, order), preserve_range)
+        return resized(img, h, w, order, preserve_range)
     if order not in (0, 1):
         raise ValueError("order must be 0, 1, 2 or 3")
-    sy = (img["height"] - 1).cast("double") / float(h - 1) if h > 1 else F.lit(0.0)
-    sx = (img["width"] - 1).cast("double") / float(w - 1) if w > 1 else F.lit(0.0)
     edge = lambda v, n: F.least(v, (n - 1).cast("double"))  # noqa: E731  the last place may come out an ulp outside
-    return kept_range(_sampled(img, h, w, lambda y, x: (edge(y * sy, img["height"]), edge(x * sx, img["width"])), order, 0.0), preserve_range)
+
+    def made(im: Column) -> Column:
+        sy = (im["height"] - 1).cast("double") / float(h - 1) if h > 1 else F.lit(0.0)
+        sx = (im["width"] - 1).cast("double") / float(w - 1) if w > 1 else F.lit(0.0)
+        return _sampled(im, h, w, lambda y, x: (edge(y * sy, im["height"]), edge(x * sx, im["width"])), order, 0.0)
+
+    return kept_range(bound(img, made), preserve_range)
 
 
 def rotation(angle: float, height: int, width: int, reshape: bool) -> tuple[tuple[float, float], tuple[float, float], int, int]:
@@ -198,10 +227,10 @@ def rotate_image(img: Column, angle: float, shape: tuple[int, int], order: int =
     if order in (2, 3):
         from helioframe.functions.splines import turned
 
-        return kept_range(turned(img, angle, shape, order, reshape, cval), preserve_range)
+        return turned(img, angle, shape, order, reshape, cval, preserve_range)
     if order not in (0, 1):
         raise ValueError("order must be 0, 1, 2 or 3")
-    return kept_range(_sampled(img, h, w, lambda y, x: (y * c + x * s + oy, y * -s + x * c + ox), order, cval), preserve_range)
+    return kept_range(bound(img, lambda im: _sampled(im, h, w, lambda y, x: (y * c + x * s + oy, y * -s + x * c + ox), order, cval)), preserve_range)
 
 
 resize, rotate, bytescale, pad = resize_image, rotate_image, bytescale_image, pad_image

@@ -26,6 +26,19 @@ BANDS = {
 _FORM = {"sqrt": (F.sqrt, sqrt), "log10": (F.log10, log10), "linear": (lambda x: x, lambda x: x)}
 
 
+def _band(img: Column, time: Column, low: float, high: float, ref: float | None, form: str) -> Column:
+    shape, limit = _FORM[form]
+    a, b = F.lit(limit(low)), F.lit(limit(high))
+
+    def one(v: Column) -> Column:
+        x = F.nanvl(v, F.lit(0.0))
+        x = x * (F.lit(ref) / time) if ref else x / time
+        y = (shape(F.greatest(F.lit(low), F.least(F.lit(high), x))) - a) / (b - a) * 255.0
+        return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), y))).cast("double")
+
+    return F.transform(img["data"], one)
+
+
 def aia_intscale(img: Column, exptime: Column | float, wavelnth: Column | float) -> Column:
     """The image normalised to its band's exposure, clipped, transformed and scaled to bytes; NaN counts as 0.
 
@@ -34,16 +47,7 @@ def aia_intscale(img: Column, exptime: Column | float, wavelnth: Column | float)
     band, time = F.rint(F.lit(wavelnth).cast("double")), F.lit(exptime).cast("double")
     out = None
     for w, (low, high, ref, form) in BANDS.items():
-        shape, limit = _FORM[form]
-        a, b = F.lit(limit(low)), F.lit(limit(high))
-
-        def one(v: Column, low=low, high=high, ref=ref, shape=shape, a=a, b=b) -> Column:
-            x = F.nanvl(v, F.lit(0.0))
-            x = x * (F.lit(ref) / time) if ref else x / time
-            y = (shape(F.greatest(F.lit(low), F.least(F.lit(high), x))) - a) / (b - a) * 255.0
-            return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), y))).cast("double")
-
-        data = F.transform(img["data"], one)
+        data = _band(img, time, low, high, ref, form)
         out = F.when(band == w, data) if out is None else out.when(band == w, data)
     fail = F.raise_error(F.concat(F.lit("no such band or no exposure: "), F.coalesce(F.lit(wavelnth).cast("string"), F.lit("null")))).cast("array<double>")
     return _like(img, F.when(time.isNull(), fail).otherwise(out.otherwise(fail)), dtype="uint8")

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from helioframe.functions.images import _like, rotation
+from helioframe.functions.images import LIMITS, _like, rotation
+from helioframe.plans.workers import ship
 
 
 def prefilter(x: np.ndarray, order: int) -> np.ndarray:
@@ -54,31 +55,41 @@ def sample(img: np.ndarray, y: np.ndarray, x: np.ndarray, order: int, cval: floa
     return np.where(inside[..., None], out, cval)
 
 
-def _apply(img: Column, height: int, width: int, where, order: int, cval: float) -> Column:
+def as_kind(x: np.ndarray, dtype: str) -> np.ndarray:
+    """Values as an image of this kind holds them, like images.as_kind (a lambda cannot take a Python function's result)."""
+    if dtype in LIMITS:
+        return np.trunc(np.clip(np.nan_to_num(x, nan=0.0), *map(float, LIMITS[dtype])))
+    return x.astype(np.float32).astype(np.float64) if dtype == "float32" else x
+
+
+def _apply(img: Column, height: int, width: int, where, order: int, cval: float, preserve: bool) -> Column:
+    ship()
+
     @F.pandas_udf("array<double>")
-    def run(data: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series) -> pd.Series:
+    def run(data: pd.Series, h: pd.Series, w: pd.Series, c: pd.Series, kind: pd.Series) -> pd.Series:
         made = []
-        for d, a, b, k in zip(data, h, w, c):
+        for d, a, b, k, t in zip(data, h, w, c, kind):
             y, x = where(int(a), int(b))
-            made.append(sample(np.asarray(d, np.float64).reshape(a, b, k), y, x, order, cval).ravel())
+            out = sample(np.asarray(d, np.float64).reshape(a, b, k), y, x, order, cval).ravel()
+            made.append(as_kind(out, t) if preserve else out)
         return pd.Series(made)
 
-    return _like(img, run(img["data"], img["height"], img["width"], img["channels"]), F.lit(height), F.lit(width))
+    return _like(img, run(img["data"], img["height"], img["width"], img["channels"], img["dtype"]), F.lit(height), F.lit(width), None if preserve else "float64")
 
 
-def resized(img: Column, height: int, width: int, order: int) -> Column:
+def resized(img: Column, height: int, width: int, order: int, preserve: bool) -> Column:
     def where(h: int, w: int):
         y, x = np.linspace(0, h - 1, height) if height > 1 else np.zeros(1), np.linspace(0, w - 1, width) if width > 1 else np.zeros(1)
         return np.broadcast_arrays(y[:, None], x[None, :])
 
-    return _apply(img, height, width, where, order, 0.0)
+    return _apply(img, height, width, where, order, 0.0, preserve)
 
 
-def turned(img: Column, angle: float, shape: tuple[int, int], order: int, reshape: bool, cval: float) -> Column:
+def turned(img: Column, angle: float, shape: tuple[int, int], order: int, reshape: bool, cval: float, preserve: bool) -> Column:
     (c, s), (oy, ox), height, width = rotation(angle, *shape, reshape)
 
     def where(h: int, w: int):
         y, x = np.mgrid[0:height, 0:width].astype(np.float64)
         return y * c + x * s + oy, y * -s + x * c + ox
 
-    return _apply(img, height, width, where, order, float(cval))
+    return _apply(img, height, width, where, order, float(cval), preserve)

@@ -10,6 +10,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helioframe.plans.workers import ship
+
 
 def download_single_file(source_url: str, destination: str, overwrite: bool = False, max_retries: int = 3, timeout: float = 30, verify: bool = True, wait: float = 1.0) -> bool:
     """Whether the file is there: it was before (and is not to be overwritten), or one of max_retries + 1 tries, ever further apart, fetched it."""
@@ -38,6 +40,8 @@ def download_single_file(source_url: str, destination: str, overwrite: bool = Fa
 def downloads(tasks: DataFrame, overwrite: bool = False, max_retries: int = 3, parallel: int = 1, **options) -> DataFrame:
     """(url, dest, ok) of each task (url, dest), fetched by `parallel` tasks. dest must be on storage that all executors share."""
 
+    ship(tasks.sparkSession)
+
     def run(frames):
         for pdf in frames:
             yield pdf.assign(ok=[download_single_file(u, d, overwrite, max_retries, **options) for u, d in zip(pdf["url"], pdf["dest"])])
