@@ -37,30 +37,34 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+P = "__mix_"
+
+
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """The columns of docs with size, source_size, target and copies (how often the mix takes the document).
+    """The columns of docs with size, source_size, target and copies (how often the mix takes the row), prefixed with P.
 
     The rate is target / source_size. Null texts have size 0; null sources are one source, last in order. A source of
     size 0 has target 0 and takes nothing. Rows that repeat a doc_id draw alike; null ids draw as the empty string.
     """
-    sized = docs.withColumn("size", n_words(F.col("text")))
-    sizes = stage(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
-    goal = stage(targets(sizes, weights, limit), "targets").select(F.col("source").alias("of"), F.col("source_size"), F.col("target"))
-    both = sized.join(F.broadcast(goal) if goal.count() <= BROADCAST_ROWS else goal, sized.source.eqNullSafe(goal.of), "left")
-    rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
+    sized = docs.withColumn(P + "size", n_words(F.col("text").cast("string")))
+    sizes = stage(sized.groupBy("source").agg(F.sum(P + "size").alias("source_size")), "sizes")
+    goal = stage(targets(sizes, weights, limit), "targets").select(F.col("source").alias(P + "of"), F.col("source_size").alias(P + "source_size"), F.col("target").alias(P + "target"))
+    both = sized.join(F.broadcast(goal) if goal.count() <= BROADCAST_ROWS else goal, sized.source.eqNullSafe(F.col(P + "of")), "left")
+    rate = F.coalesce(F.try_divide(P + "target", F.col(P + "source_size").cast("double")), F.lit(0.0))
     times = F.floor(rate) + F.when(draw(F.col("doc_id")) < rate - F.floor(rate), 1).otherwise(0)
-    return both.withColumn("copies", times.cast("long")).drop("of")
+    return both.withColumn(P + "copies", times.cast("long")).drop(P + "of")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
     """The mix itself: the columns of docs, each row as often as `copies` says."""
-    taken = copies(docs, weights, limit).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    taken = copies(docs, weights, limit).where(F.col(P + "copies") > 0)
+    return taken.withColumn(P + "copy", F.explode(F.sequence(F.lit(1), F.col(P + "copies").cast("int")))).select(docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row."""
-    return copies(docs.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    found = copies(docs.select("doc_id", "text", "source"))
+    return found.select("doc_id", *[F.col(P + c).alias(c) for c in ("size", "source_size", "target")], (F.col(P + "size") * F.col(P + "copies")).alias("taken"))
 
 
 ORACLE = r"""
