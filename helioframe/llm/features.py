@@ -97,8 +97,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, features: Callable[[b
                 made = [[x.astype("<i4").tobytes() for x in features(t or b"")] for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(made, pa.list_(pa.binary()))], names=["id", "y", "x"])
 
-    got = own.mapInArrow(run, "id long, y int, x array<binary>").toArrow().sort_by("id").to_pylist()  # at most `rows` rows
-    return [(r["y"], [np.frombuffer(x, "<i4") for x in r["x"]]) for r in got]
+    got = own.mapInArrow(run, "id long, y int, x array<binary>").toArrow()  # at most `rows` rows
+    order = np.argsort(got.column("id").to_numpy(), kind="stable").tolist()
+    y, x = got.column("y").to_pylist(), got.column("x")
+    return [(y[i], [np.frombuffer(b.as_buffer(), "<i4") for b in x[i].values]) for i in order]
 
 
 def score(docs: DataFrame, run: Callable[[bytes], float], threshold: float) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from helioframe.llm import features as X
 
-GRAMS, THRESHOLD, PENALTY, EPOCHS, BLEND = (2, 3, 5), 0.3, 1.0, 12, 0.5
+GRAMS, THRESHOLD, PENALTY, EPOCHS, BLEND, SAMPLE_ROWS = (2, 3, 5), 0.3, 1.0, 12, 0.5, 4000
 
 
 def _features(text: bytes) -> list[np.ndarray]:
@@ -36,7 +36,8 @@ def dual_descent(rows: list[tuple[int, np.ndarray]], scale: np.ndarray, c: float
     up = sum(y for y, _ in rows)
     weigh = {1: c * len(rows) / (2 * max(1, up)), 0: c * len(rows) / (2 * max(1, len(rows) - up))}
     w, offset, alpha, rng = np.zeros_like(scale), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
-    xs = [scale[f] / np.sqrt(max(1, len(f))) for _, f in rows]
+    small = scale.astype(np.float32)
+    xs = [small[f] / np.float32(np.sqrt(max(1, len(f)))) for _, f in rows]
     norm = [float(x @ x) + 1 for x in xs]
     for _ in range(epochs):
         moved = 0.0
@@ -83,7 +84,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     Null texts are scored as empty ones. Repeated rows are scored alike. Without labels all scores are 0.5.
     """
-    v, offset, a, b = fit(X.sample(docs, labels, "quality", _features))
+    v, offset, a, b = fit(X.sample(docs, labels, "quality", _features, SAMPLE_ROWS))
     v = v.astype(np.float32)
 
     def run(text: bytes) -> float:
