@@ -32,10 +32,14 @@ def is_skipped(href: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(F.lower(href), F.lit(s)) for s in SKIPPED])
 
 
+def is_file(href: Column, extensions: Sequence[str]) -> Column:
+    """Whether a link names a file beside the page: of an extension, not rooted, without a query, and not skipped."""
+    return has_extension(href, extensions) & ~href.startswith("/") & ~href.contains("?") & ~is_skipped(href)
+
+
 def file_links(pages: DataFrame, extensions: Sequence[str], html: str = "html", keys: Sequence[str] = ("page_id",)) -> DataFrame:
-    """The links that name a file beside the page: of an extension, not rooted, without a query, and not skipped."""
-    href = F.col("href")
-    return links(pages, html, keys).where(has_extension(href, extensions) & ~href.startswith("/") & ~href.contains("?") & ~is_skipped(href))
+    """The links() that name files."""
+    return links(pages, html, keys).where(is_file(F.col("href"), extensions))
 
 
 def classified(found: DataFrame, extensions: Sequence[str]) -> DataFrame:
@@ -48,6 +52,7 @@ def get_file_list(spark, base_url: str, extensions: Sequence[str], timeout: floa
     """(url, pos, href, error) of one listing, fetched by one task; a failure is a row with its error and no link."""
 
     def fetch(frames):
+        import pandas as pd
         import requests
 
         for pdf in frames:
@@ -59,10 +64,8 @@ def get_file_list(spark, base_url: str, extensions: Sequence[str], timeout: floa
                     out.append((url, got.text, None))
                 except Exception as e:
                     out.append((url, None, str(e)))
-            import pandas as pd
-
             yield pd.DataFrame(out, columns=["url", "html", "error"])
 
-    page = spark.createDataFrame([(base_url,)], "url string").mapInPandas(fetch, "url string, html string, error string").checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else spark.createDataFrame([(base_url,)], "url string").mapInPandas(fetch, "url string, html string, error string")
-    good = file_links(page.where("error IS NULL"), extensions, keys=("url",)).withColumn("error", F.lit(None).cast("string"))
-    return good.unionByName(page.where("error IS NOT NULL").select("url", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("href"), "error"))
+    page = spark.createDataFrame([(base_url,)], "url string").mapInPandas(fetch, "url string, html string, error string")
+    found = page.select("url", "error", F.posexplode_outer(hrefs(F.col("html"))).alias("pos", "href"))
+    return found.where(F.col("error").isNotNull() | is_file(F.col("href"), extensions)).select("url", "pos", "href", "error")
