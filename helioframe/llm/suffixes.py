@@ -7,16 +7,19 @@ never compared again. Equal neighbours are one string, and its least document ke
 
 Only suffixes that can have an equal in another document are sent. Every LENGTH-byte window selects the GRAM-byte
 piece of least hash in it, its anchor; equal windows select the same one. Neighbouring windows with one anchor form a
-block. A first exchange of anchor and block hashes tells each block whether its anchor occurs in several documents
-(else none of its windows can), and whether blocks around the anchor differ. Blocks are then sorted as one suffix of
-their whole length; where blocks of an anchor differ, the least document of each also sends the single windows. Hashes
-only decide what is sent; equality is decided on bytes.
+block. A first exchange of anchor and block hashes tells each block whether its anchor occurs in several documents;
+else none of its windows can. A block is sent as the suffix that starts at its anchor, followed by what stands before
+the anchor. In the merged order the blocks of an anchor are neighbours that share GRAM bytes: equal ones are decided
+whole, and where they differ, window by window. Anchors with very many different blocks send single windows instead,
+which the order deals over many ranges. Hashes only decide what is sent; equality is decided on bytes.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,55 +34,62 @@ from helioframe.llm.common import ship, stage
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # anchors that a window chooses from
 #: Text bytes of a chunk, entries of a hash bucket and of a range aimed at, bytes hashed at a time.
-CHUNK, BUCKET, RANGE, PIECE = 8 << 20, 1 << 20, 400_000, 1 << 20
+CHUNK, BUCKET, RANGE, PIECE = 8 << 20, 1 << 18, 200_000, 1 << 20
 SAMPLE = 4096
-#: An anchor with more block kinds than this in one chunk is answered there.
-MANY = 8
+#: An anchor with more block kinds than MANY in one chunk, or CROWD entries in all, sends single windows.
+MANY, CROWD = 8, 5000
+_ANCHORED, _SINGLE = b"\0", b"\1"
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _POWER = np.cumprod(np.full(PIECE + (1 << 17), 0xF58B6A3D1C9E4B27, np.uint64))
 _INVERSE = np.cumprod(np.full(PIECE + (1 << 17), pow(0xF58B6A3D1C9E4B27, -1, 1 << 64), np.uint64))
 _CHUNK = "chunk long, ids binary, ends binary, text binary, some array<binary>"
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents to rows of about CHUNK bytes: ids, ends of the texts, and the texts compressed."""
-    pack, part, k = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
-    ids, texts, held = [], [], 0
+def _chunks(size: int):
+    """Documents to rows of about `size` bytes: ids, ends of the texts, and the texts compressed."""
 
-    def row():
-        ends, whole = np.cumsum([len(t) for t in texts]).astype("<i8"), b"".join(texts)
-        some = [whole[i : i + LENGTH] for i in range(0, len(whole), len(whole) // 16 + 1)]  # for the splitters of ranges
-        cells = [pa.array([x], pa.binary()) for x in (np.array(ids, "<i8").tobytes(), ends.tobytes(), pack.compress(whole))]
-        return pa.RecordBatch.from_arrays([pa.array([(part << 24) + k]), *cells, pa.array([some], pa.list_(pa.binary()))], names=["chunk", "ids", "ends", "text", "some"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, part, k = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+        ids, texts, held = [], [], 0
+
+        def row():
+            ends, whole = np.cumsum([len(t) for t in texts]).astype("<i8"), b"".join(texts)
+            some = [whole[i : i + LENGTH] for i in range(0, len(whole), len(whole) // 16 + 1)]  # for the splitters of ranges
+            cells = [pa.array([x], pa.binary()) for x in (np.array(ids, "<i8").tobytes(), ends.tobytes(), pack.compress(whole))]
+            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + k]), *cells, pa.array([some], pa.list_(pa.binary()))], names=["chunk", "ids", "ends", "text", "some"])
 
-    for batch in batches:
-        keys = batch.column("doc_id").to_pylist()
-        for d, t in zip(keys, batch.column("text").cast(pa.binary())):
-            ids.append(d)
-            texts.append(t.as_py() or b"")
-            held += len(texts[-1])
-            if held >= CHUNK:
-                yield row()
-                ids, texts, held, k = [], [], 0, k + 1
-    if ids:
-        yield row()
+        for batch in batches:
+            keys = batch.column("doc_id").to_pylist()
+            for d, t in zip(keys, batch.column("text").cast(pa.binary())):
+                ids.append(d)
+                texts.append(t.as_py() or b"")
+                held += len(texts[-1])
+                if held >= size:
+                    yield row()
+                    ids, texts, held, k = [], [], 0, k + 1
+        if ids:
+            yield row()
+
+    return run
 
 
 def _blocks(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor hash, block hash, first window, last window) of every block of a chunk, in order of place."""
+    """(anchor hash, block hash, first window, last window, place of the anchor) of every block of a chunk, in order of place."""
     out: list[tuple[np.ndarray, ...]] = []
     # Each window is hashed in the piece where it starts. A block that a piece's end cuts is two blocks, both with
     # their anchor; their windows still meet those of whole blocks, as the anchor then has blocks that differ.
     for at in range(0, len(text), PIECE):
-        far = min(len(text), at + PIECE + LENGTH)
-        piece = np.zeros(far - at + 16, np.uint8)
+        far = min(len(text), at + PIECE + LENGTH - 1)
+        piece = np.zeros(far - at + 40, np.uint8)
         piece[: far - at] = text[at:far]
         n = far - at - LENGTH + 1
         if n <= 0:
             continue
         eight = np.ndarray((len(piece) - 7,), "<u8", piece, 0, (1,))
         count = n + SPAN - 1
-        h = (eight[:count] * _M1) ^ (eight[8 : 8 + count] * _M2)
+        h = eight[:count] * _M1
+        for k in range(8, GRAM, 8):
+            h = (h ^ (h >> np.uint64(32))) * _M3 + eight[k : k + count] * _M2
         h = (h ^ (h >> np.uint64(31))) * _M3
         h ^= h >> np.uint64(29)
         m = (h & ~np.uint64((1 << 24) - 1)) | np.arange(count, dtype=np.uint64)
@@ -100,19 +110,19 @@ def _blocks(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         last = stop - 1 + SPAN
         body = (total[last] - total[turn]) * _INVERSE[turn]
         body = (body ^ (stop - turn).astype(np.uint64) * _M2) * _M1
-        out.append((h[anchor[turn]], body ^ (body >> np.uint64(32)), turn + at, stop - 1 + at))
+        out.append((h[anchor[turn]], body ^ (body >> np.uint64(32)), turn + at, stop - 1 + at, anchor[turn] + at))
     if not out:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 class _Chunk:
     """A chunk's blocks grouped by (anchor, block) hash; the same on every reading."""
 
-    def __init__(self, ids: bytes, ends: bytes, text: bytes, bits: int) -> None:
+    def __init__(self, ids: bytes, ends: bytes, text: bytes, bits: int, many: int) -> None:
         self.ids, self.ends = np.frombuffer(ids, "<i8"), np.frombuffer(ends, "<i8")
         self.text = zstandard.ZstdDecompressor().decompress(text) if len(text) else b""
-        anchor, block, self.first, self.last = _blocks(np.frombuffer(self.text, np.uint8), self.ends)
+        anchor, block, self.first, self.last, self.at = _blocks(np.frombuffer(self.text, np.uint8), self.ends)
         self.doc = self.ids[np.searchsorted(self.ends, self.first, "right")] if len(self.first) else self.first
         anchor, block = anchor >> np.uint64(64 - bits), block & np.uint64((1 << 40) - 1)
         self.order = np.lexsort((self.first, self.doc, block, anchor))
@@ -125,7 +135,7 @@ class _Chunk:
         tail = self.head + self.size - 1
         self.several = d[tail] != self.least if len(a) else np.empty(0, bool)
         kinds = np.diff(np.r_[np.flatnonzero(new_anchor[self.head]), len(self.head)]) if len(a) else np.empty(0, np.int64)
-        self.hot = np.repeat(kinds > MANY, kinds)  # classes of an anchor with very many kinds in this chunk
+        self.hot = np.repeat(kinds > many, kinds)  # classes of an anchor with very many kinds in this chunk
         self.sent = np.flatnonzero(~self.hot | new_anchor[self.head]) if len(a) else np.empty(0, np.int64)
 
 
@@ -138,12 +148,12 @@ def _unplanes(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def _hashes(bits: int, buckets: int):
+def _hashes(bits: int, buckets: int, many: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for chunk, ids, ends, text in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "ends", "text"))):
-                c = _Chunk(ids, ends, text, bits)
+                c = _Chunk(ids, ends, text, bits, many)
                 a = c.anchor[c.sent]
                 at = np.r_[np.searchsorted(a, np.array([(i << bits) // buckets for i in range(buckets)], np.uint64)), len(a)]
                 rows = {"bucket": [], "chunk": [], "data": []}
@@ -160,8 +170,8 @@ def _hashes(bits: int, buckets: int):
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """For one bucket: of each chunk's entries, bit planes of "anchor in several documents" and "send single windows"."""
+def _answer(table: pa.Table, crowd: int = CROWD) -> pa.Table:
+    """For one bucket: of each chunk's entries, bit planes of "anchor in several documents" and "a crowded anchor"."""
     open_ = zstandard.ZstdDecompressor()
     chunks, blobs = table.column("chunk").to_pylist(), [open_.decompress(x) for x in table.column("data").to_pylist()]
     sizes = np.array([len(b) // 25 for b in blobs])
@@ -178,29 +188,28 @@ def _answer(table: pa.Table) -> pa.Table:
     at = np.flatnonzero(new)
     low, high = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
     known = np.maximum.reduceat(f, at)
-    kinds = np.minimum.reduceat(h, at) != np.maximum.reduceat(h, at)
     common = (low != high) | (known > 0)
-    mixed = common & (kinds | (known > 1))
-    head = new | np.r_[True, h[1:] != h[:-1]]
-    least = d == d[np.maximum.accumulate(np.where(head, np.arange(len(d)), 0))]
+    crowded = common & ((np.diff(np.r_[at, len(a)]) > crowd) | (known > 1))
     send, single = np.empty(len(a), bool), np.empty(len(a), bool)
-    send[order], single[order] = common[group], mixed[group] & least
+    send[order], single[order] = common[group], crowded[group]
     cut = np.r_[0, np.cumsum(sizes)]
     rows = [np.packbits(np.r_[send[i:j], single[i:j]]).tobytes() for i, j in zip(cut[:-1], cut[1:])]
-    counts = [int(send[i:j].sum()) + 20 * int(single[i:j].sum()) for i, j in zip(cut[:-1], cut[1:])]
+    counts = [int(send[i:j].sum()) + 16 * int(single[i:j].sum()) for i, j in zip(cut[:-1], cut[1:])]
     return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": table.column("bucket").cast(pa.int32()), "n": pa.array(sizes, pa.int64()), "bits": pa.array(rows, pa.binary()), "weight": pa.array(counts, pa.int64())})
 
 
-def _front_code(strings: list[bytes], docs: list[int], places: list[int]) -> bytes:
-    """A sorted run: lengths shared with the string before, lengths of the rest, document and place of each, and the rests."""
+def _front_code(rows: list[tuple[bytes, int, int, int]]) -> bytes:
+    """A sorted run of (string, bytes of it that stand before the anchor, document, place): lengths shared with the string
+    before, lengths of the rest, the numbers, and the rests."""
     shared, rest, tails, before = bytearray(), bytearray(), [], b""
-    for s in strings:
+    for s, _, _, _ in rows:
         n = _common(before, s, 0)
         shared.append(n)
         rest.append(len(s) - n)
         tails.append(s[n:])
         before = s
-    return b"".join((len(strings).to_bytes(4, "little"), bytes(shared), bytes(rest), np.array(docs, "<i8").tobytes(), np.array(places, "<i4").tobytes(), *tails))
+    left, docs, places = bytes(x[1] for x in rows), np.array([x[2] for x in rows], "<i8"), np.array([x[3] for x in rows], "<i4")
+    return b"".join((len(rows).to_bytes(4, "little"), bytes(shared), bytes(rest), left, docs.tobytes(), places.tobytes(), *tails))
 
 
 def _common(a: bytes, b: bytes, known: int) -> int:
@@ -216,77 +225,64 @@ def _common(a: bytes, b: bytes, known: int) -> int:
     return step
 
 
-def _suffixes(bits: int, splitters: list[bytes]):
-    from bisect import bisect_right
-
+def _suffixes(bits: int, splitters: list[bytes], many: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for chunk, ids, ends, text, answers in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "ends", "text", "answers"))):
-                c = _Chunk(ids, ends, text, bits)
+                c = _Chunk(ids, ends, text, bits, many)
                 send, single = np.zeros(len(c.head), bool), np.zeros(len(c.head), bool)
                 at = 0
                 for x in sorted(answers or [], key=lambda x: x["bucket"]):
                     n, own = x["n"], np.unpackbits(np.frombuffer(x["bits"], np.uint8)).astype(bool)
                     send[c.sent[at : at + n]], single[c.sent[at : at + n]] = own[:n], own[n : 2 * n]
                     at += n
-                send |= c.hot
-                single |= c.hot
-                entries, gone = _entries(c, send, single)
-                yield _row(0, chunk, _spans(gone))
+                entries, gone = _entries(c, send | c.hot, single | c.hot)
                 entries.sort()
                 # Within the chunk, a string's least document stands for it; later ones lose it here and now.
-                local, kept, least, string = [], [], 0, None
-                for s, d, p in entries:
-                    if s != string:
-                        string, least = s, d
-                    if d > least:
-                        local.append((p, len(s)))
+                kept, least, string = [], 0, None
+                for x in entries:
+                    if x[:2] != string:
+                        string, least = x[:2], x[2]
+                    if x[2] > least:
+                        gone.append((x[3], len(x[0]) - 1))
                     else:
-                        kept.append((s, d, p))
-                if local:
-                    yield _row(0, chunk, _spans(local))
+                        kept.append(x)
                 del entries
-                low = 0
-                strings = [k[0] for k in kept]
+                if gone:
+                    yield _row(-1 - chunk, chunk, _spans(gone))  # a group of its own, which the merge hands on
+                low, strings = 0, [x[0] for x in kept]
                 for r in range(len(splitters) + 1):
-                    high = bisect_right(strings, splitters[r]) if r < len(splitters) else len(strings)
+                    high = bisect_left(strings, splitters[r], low) if r < len(splitters) else len(strings)
                     if high > low:
-                        part = kept[low:high]
-                        yield _row(r + 1, chunk, pack.compress(_front_code(strings[low:high], [x[1] for x in part], [x[2] for x in part])))
+                        yield _row(r, chunk, pack.compress(_front_code(kept[low:high])))
                     low = high
 
     return run
 
 
-def _entries(c: _Chunk, send: np.ndarray, single: np.ndarray) -> tuple[list[tuple[bytes, int, int]], list[tuple[int, int]]]:
-    """(string, document, place) of what a chunk sends, and the (place, length) it can already remove.
+def _entries(c: _Chunk, send: np.ndarray, single: np.ndarray) -> tuple[list[tuple[bytes, int, int, int]], list[tuple[int, int]]]:
+    """(string, bytes before the anchor, document, place) of what a chunk sends, and the (place, length) it can already remove.
 
-    Later documents' blocks that equal the first of their class are removed here; the first is sent, and so are the
-    least document's other equal blocks. A block that only shares the hash is sent by itself, with its windows.
+    Later documents' blocks that equal the first of their class are removed here; the first is sent, and so are its
+    document's other equal blocks, and blocks that only share the hash.
     """
     text, entries, gone = c.text, [], []
-    first, last, doc = c.first[c.order].tolist(), c.last[c.order].tolist(), c.doc[c.order].tolist()
-    heads, sizes = c.head.tolist(), c.size.tolist()
+    first, last, doc, anchor = c.first[c.order].tolist(), c.last[c.order].tolist(), c.doc[c.order].tolist(), c.at[c.order].tolist()
+    heads, sizes, alone = c.head.tolist(), c.size.tolist(), single.tolist()
     for k in np.flatnonzero(send).tolist():
         i = heads[k]
-        a, z, d = first[i], last[i], doc[i]
-        s = text[a : z + LENGTH]
-        windows = [(a, z)] if single[k] else []
-        entries.append((s, d, a))
-        for j in range(i + 1, i + sizes[k]):
-            b, y, e = first[j], last[j], doc[j]
-            t = text[b : y + LENGTH]
-            if t == s and e > d:
-                gone.append((b, len(t)))
+        a, d = first[i], doc[i]
+        s = text[a : last[i] + LENGTH]
+        for j in range(i, i + sizes[k]):
+            b, z, e = first[j], last[j], doc[j]
+            if j > i and e > d and text[b : z + LENGTH] == s:
+                gone.append((b, len(s)))
+            elif alone[k]:
+                entries += [(_SINGLE + text[p : p + LENGTH], 0, e, p) for p in range(b, z + 1)]
             else:
-                entries.append((t, e, b))
-                if t != s or single[k]:
-                    windows.append((b, y))
-        for a, z in windows:
-            d = int(c.ids[np.searchsorted(c.ends, a, "right")])
-            if z > a:
-                entries += [(text[p : p + LENGTH], d, p) for p in range(a, z + 1)]
+                m = anchor[j]
+                entries.append((_ANCHORED + text[m : z + LENGTH] + text[b:m], m - b, e, b))
     return entries, gone
 
 
@@ -295,19 +291,19 @@ def _spans(spans: list[tuple[int, int]]) -> bytes:
 
 
 def _row(range_: int, chunk: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([range_], pa.int32()), pa.array([chunk], pa.int64()), pa.array([data], pa.binary())], names=["range", "chunk", "data"])
+    return pa.RecordBatch.from_arrays([pa.array([range_], pa.int64()), pa.array([chunk], pa.int64()), pa.array([data], pa.binary())], names=["range", "chunk", "data"])
 
 
 class _Run:
-    """Reads a front-coded run: the current string, the length it shares with the one before, document and place."""
+    """Reads a front-coded run: the current string, the length it shares with the one before, and its numbers."""
 
-    __slots__ = ("at", "data", "docs", "n", "places", "rest", "shared", "string", "tail")
+    __slots__ = ("at", "data", "docs", "left", "n", "places", "rest", "shared", "string", "tail")
 
     def __init__(self, blob: bytes) -> None:
         self.n = n = int.from_bytes(blob[:4], "little")
-        self.shared, self.rest = blob[4 : 4 + n], blob[4 + n : 4 + 2 * n]
-        self.docs, self.places = np.frombuffer(blob, "<i8", n, 4 + 2 * n).tolist(), np.frombuffer(blob, "<i4", n, 4 + 10 * n).tolist()
-        self.data, self.tail, self.at, self.string = blob, 4 + 14 * n, -1, b""
+        self.shared, self.rest, self.left = (blob[4 + i * n : 4 + (i + 1) * n] for i in range(3))
+        self.docs, self.places = np.frombuffer(blob, "<i8", n, 4 + 3 * n).tolist(), np.frombuffer(blob, "<i4", n, 4 + 11 * n).tolist()
+        self.data, self.tail, self.at, self.string = blob, 4 + 15 * n, -1, b""
 
     def next(self) -> int:
         """Steps on; the length shared with the string before, or -1 at the end."""
@@ -380,30 +376,65 @@ def merge(runs: list[_Run]) -> Iterator[tuple[int, int]]:
             node >>= 1
 
 
+def _decide(group: list[tuple[bytes, int, int, int, int]], gone: list[list[tuple[int, int]]]) -> None:
+    """Which bytes of a group's entries (string, before, document, run, place) an earlier document has: all blocks of one
+    anchor, or equal single windows."""
+    docs = {x[2] for x in group}
+    if len(docs) == 1:
+        return
+    classes: dict[tuple[bytes, int], list[tuple[bytes, int, int, int, int]]] = {}
+    for x in group:
+        classes.setdefault(x[:2], []).append(x)
+    leaders = []
+    for (string, _), members in classes.items():
+        least = min(x[2] for x in members)
+        for x in members:
+            if x[2] > least:
+                gone[x[3]].append((x[4], len(string) - 1))
+            else:
+                leaders.append(x)
+    if len(classes) == 1:
+        return
+    windows: dict[bytes, int] = {}
+    blocks = []
+    for string, before, d, r, p in leaders:
+        block = string[len(string) - before :] + string[1 : len(string) - before]
+        own = [block[i : i + LENGTH] for i in range(len(block) - LENGTH + 1)]
+        blocks.append((own, d, r, p))
+        for w in own:
+            if windows.get(w, d) >= d:
+                windows[w] = d
+    for own, d, r, p in blocks:
+        start = -1
+        for i, w in enumerate(own):
+            if windows[w] < d:
+                start = i if start < 0 else start
+            elif start >= 0:
+                gone[r].append((p + start, i - 1 - start + LENGTH))
+                start = -1
+        if start >= 0:
+            gone[r].append((p + start, len(own) - 1 - start + LENGTH))
+
+
 def _merge(table: pa.Table) -> pa.Table:
-    """One range: the places of strings that an earlier document has, by chunk."""
-    open_ = zstandard.ZstdDecompressor()
+    """One range: the places that an earlier document has, by chunk. A group of a chunk's own places is handed on."""
     chunks = table.column("chunk").to_pylist()
+    if table.num_rows and table.column("range")[0].as_py() < 0:
+        return table.select(["chunk", "data"]).rename_columns(["chunk", "spans"])
+    open_ = zstandard.ZstdDecompressor()
     runs = [_Run(open_.decompress(x)) for x in table.column("data").to_pylist()]
     gone: list[list[tuple[int, int]]] = [[] for _ in runs]
-    group: list[tuple[int, int, int]] = []
-    size = 0
-
-    def close() -> None:
-        if len(group) > 1:
-            least = min(d for d, _, _ in group)
-            for d, r, p in group:
-                if d > least:
-                    gone[r].append((p, size))
-
+    group: list[tuple[bytes, int, int, int, int]] = []
     for r, shared in merge(runs):
-        run = runs[r]
-        n = len(run.string)
-        if not (shared == n == size):
-            close()
-            group, size = [], n
-        group.append((run.docs[run.at], r, run.places[run.at]))
-    close()
+        run, string = runs[r], runs[r].string
+        together = shared > GRAM if string[:1] == _ANCHORED else shared == len(string)
+        if not together:
+            if len(group) > 1:
+                _decide(group, gone)
+            group = []
+        group.append((string, run.left[run.at], run.docs[run.at], r, run.places[run.at]))
+    if len(group) > 1:
+        _decide(group, gone)
     have = [i for i, g in enumerate(gone) if g]
     return pa.table({"chunk": pa.array([chunks[i] for i in have], pa.int64()), "spans": pa.array([_spans(gone[i]) for i in have], pa.binary())})
 
@@ -433,32 +464,37 @@ def _finish(with_text: bool):
     return run
 
 
-def dedup(docs: DataFrame, with_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, with_text: bool = True, chunk: int = CHUNK, many: int = MANY, crowd: int = CROWD, per_range: int = RANGE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text kept) of every row of docs (doc_id, text).
 
     A byte goes if it lies in a LENGTH-byte string, within its document, that also starts in a document with a smaller
     doc_id. Null texts are empty. Rows that share a doc_id do not remove from one another. Rows without a doc_id take
-    no part and keep all. `kept` is binary: a removed run may cut a character. An empty table gives an empty result.
+    no part and keep all. chunk, many, crowd and per_range size the work and change no result. `kept` is binary: a removed run may cut a character. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    chunks = stage(rows.where("doc_id is not null").mapInArrow(_chunks, _CHUNK), "chunks")
+    chunks = stage(rows.where("doc_id is not null").mapInArrow(_chunks(chunk), _CHUNK), "chunks")
     total = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(64, 20 + max(1, math.ceil(math.log2(3 * total + 2))))
     buckets = max(1, round(3 * total / 18 / BUCKET))
     texts = chunks.select("chunk", "ids", "ends", "text")
-    sent = texts.mapInArrow(_hashes(bits, buckets), "bucket int, chunk long, data binary")
+    sent = texts.mapInArrow(_hashes(bits, buckets, many), "bucket int, chunk long, data binary")
     some = [bytes(r[0]) for r in chunks.select(F.explode("some").alias("s")).orderBy(F.xxhash64("s"), "s").limit(SAMPLE).collect()]
-    answers = stage(sent.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, n long, bits binary, weight long"), "answers")
+    answers = stage(sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, crowd), "chunk long, bucket int, n long, bits binary, weight long"), "answers")
     weight = answers.agg(F.sum("weight")).first()[0] or 0
-    ranges = min(max(1, round(weight / RANGE)), SAMPLE // 2)
+    ranges = min(max(1, round(weight / per_range)), SAMPLE // 2)
     some.sort()
-    splitters = sorted({some[len(some) * i // ranges] for i in range(1, ranges)}) if some else []
+    cuts = sorted({some[len(some) * i // ranges] for i in range(1, ranges)}) if some else []
+    # A range starts at a whole anchor, so that the blocks of one anchor meet.
+    splitters = sorted({_ANCHORED + x[:GRAM] for x in cuts}) + [_SINGLE] + [_SINGLE + x for x in cuts]
     told = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("answers"))  # one chunk's
-    runs = stage(texts.join(told, "chunk", "left").select(*texts.columns, "answers").mapInArrow(_suffixes(bits, splitters), "range int, chunk long, data binary"), "runs")
-    merged = stage(runs.where("range > 0").groupBy("range").applyInArrow(_merge, "chunk long, spans binary"), "merged")
-    spans = merged.unionByName(runs.where("range = 0").select("chunk", F.col("data").alias("spans"))).groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
+    del sent
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files of the hashes
+    runs = texts.join(told, "chunk", "left").select(*texts.columns, "answers").mapInArrow(_suffixes(bits, splitters, many), "range long, chunk long, data binary")
+    merged = stage(runs.groupBy("range").applyInArrow(_merge, "chunk long, spans binary"), "merged")
+    spans = merged.groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     done = chunks.join(spans, "chunk", "left").select("ids", "ends", "text", "spans").mapInArrow(_finish(with_text), schema)
     raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")

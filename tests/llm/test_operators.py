@@ -130,15 +130,13 @@ def test_plan_covers_every_pair():
 # op2
 
 
-def test_suffixes(spark, texts, monkeypatch):
-    monkeypatch.setattr(suffixes, "CHUNK", 5000)
-    monkeypatch.setattr(suffixes, "PIECE", 700)
-    monkeypatch.setattr(suffixes, "RANGE", 300)
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 4000, "per_range": 60}, {"chunk": 4000, "per_range": 60, "many": 1, "crowd": 2}])
+def test_suffixes(spark, texts, sizes):
     many = texts + odd_texts(9, 40)
     many += ["x" * 49, "y" * 50, "y" * 50, "y" * 120, "é" * 60, "z" + "é" * 60]
     df = table_of(spark, many)
     extra = spark.createDataFrame([(None, "y" * 50, "en", None, 50), (12, many[6], "en", None, 1)], SCHEMA)
-    got = suffixes.dedup(df.unionByName(extra)).collect()
+    got = suffixes.dedup(df.unionByName(extra), **sizes).collect()
     rows = [(10 + i, (t or "").encode()) for i, t in enumerate(many)] + [(12, many[6].encode())]
     least: dict[bytes, int] = {}
     for d, b in rows:
@@ -155,13 +153,24 @@ def test_suffixes(spark, texts, monkeypatch):
     want[None, 50, 0, 0, hashlib.sha256(b"y" * 50).hexdigest()] += 1
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in got)
-    assert suffixes.dedup(df.where("false")).count() == 0
+    assert sizes or suffixes.dedup(df.where("false")).count() == 0
+
+
+def test_blocks_cover_every_window(monkeypatch):
+    text = " ".join(odd_texts(3, 30)[6:]).encode()
+    ends = np.array([0, 49, 99, 2000, 2000, len(text) - 700, len(text)])
+    for piece in (1 << 20, 700):
+        monkeypatch.setattr(suffixes, "PIECE", piece)
+        _, _, first, last, at = suffixes._blocks(np.frombuffer(text, np.uint8), ends)
+        windows = [p for a, z in zip(first, last) for p in range(a, z + 1)]
+        assert windows == [p for a, z in zip([0, *ends], ends) for p in range(a, z - suffixes.LENGTH + 1)]
+        assert ((at >= last) & (at + suffixes.GRAM <= first + suffixes.LENGTH)).all()
 
 
 def test_merge_orders_runs():
     r = random.Random(2)
     runs = [sorted(bytes(r.choice(b"ab") for _ in range(r.randint(3, 8))) for _ in range(r.randint(1, 40))) for _ in range(7)]
-    read = [suffixes._Run(suffixes._front_code(x, [0] * len(x), [0] * len(x))) for x in runs]
+    read = [suffixes._Run(suffixes._front_code([(s, 0, 0, 0) for s in x])) for x in runs]
     out, before = [], b""
     for i, shared in suffixes.merge(read):
         s = read[i].string
