@@ -28,8 +28,10 @@ VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Text bytes aimed at for one shard, and the ids at which a shard is closed in any case.
 SHARD_BYTES, SHARD_IDS = 24 << 20, 16 << 20
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 500_000
-_MARK = re.compile(rb"(?<=[a-z])([.,])(?=\s|\Z)")
+CACHE_WORDS = 700_000
+#: Words of these letters alone are one piece, unchanged by the normaliser.
+_PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+_MARKED = re.compile(rb"[a-z][.,]\Z")
 _state: dict = {}
 
 
@@ -99,13 +101,34 @@ def unpack(blob: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     return [d if k else None for k, d in zip(known, own)], ends, np.frombuffer(blob, f"<u{width}", n_ids, at + low + high + samples * 8)
 
 
+def _printable() -> dict[int, int]:
+    """The characters that byte-level vocabularies write for bytes: printable ones for themselves, the others from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTES = _printable()
+
+
+def _piece(model, word: str) -> list[int]:
+    """The ids of one lower-case word, straight from the merges."""
+    return [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(_BYTES))]
+
+
 def _encoder(path: str):
     if _state.get("path") != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        _state.update(path=path, tok=tok, cache={}, width=2 if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4)
+        probe = "Été l'aß, x-y's 12; naïve ÉA.\nend"
+        by_word = [i for w in probe.encode().lower().split() for i in tok.encode(w.decode(), add_special_tokens=False).ids]
+        width = 2 if tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        plain = _PLAIN.findall("été aß naïve end zzqxj")
+        _state.update(path=path, tok=tok, cache={}, width=width, written=[i.to_bytes(width, "little") for i in range(tok.get_vocab_size(with_added_tokens=True))])
+        _state["marks"] = {ord(m): b"".join(_state["written"][i] for i in tok.encode(m, add_special_tokens=False).ids) for m in ".,"}
+        _state["by_word"] = by_word == tok.encode(probe, add_special_tokens=False).ids and all(_piece(tok.model, w) == tok.encode(w, add_special_tokens=False).ids for w in plain)
     return _state
 
 
@@ -114,17 +137,32 @@ def encode(texts: list[bytes], path: str) -> tuple[list[bytes], int]:
 
     This vocabulary drops white space and cuts at every end of a run of letters, so the ids of a text are those of its
     words, one after another, and of "word" and "," where a mark follows a letter and ends a word. ASCII letters are
-    lower-cased first, as the tokenizer does itself. Each distinct word is encoded once and remembered. Texts that may
-    hold the vocabulary's special strings are encoded whole.
+    lower-cased first, as the tokenizer does itself. Each distinct word is encoded once and remembered; words of plain
+    letters skip the normaliser, which leaves them as they are. Texts that may hold the vocabulary's special strings are
+    encoded whole, and so are all texts if a probe shows that a vocabulary does not work by words.
     """
     s = _encoder(path)
-    tok, cache, kind = s["tok"], s["cache"], f"<u{s['width']}"
+    tok, model, cache, written, kind = s["tok"], s["tok"].model, s["cache"], s["written"], f"<u{s['width']}"
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    split = [None if b"<|" in t else _MARK.sub(rb" \1", t.lower()).split() for t in texts]
-    missing = list(set().union(*(x for x in split if x)) - cache.keys())
-    for at in range(0, len(missing), 4096):
-        part = missing[at : at + 4096]
+    split = [None if b"<|" in t or not s["by_word"] else t.lower().split() for t in texts]
+    odd = []
+    for w in set().union(*(x for x in split if x)):
+        if w in cache:
+            continue
+        stem = w[:-1] if _MARKED.search(w) else w
+        if stem not in cache:
+            if stem.isalpha():
+                cache[stem] = b"".join([written[t.id] for t in model.tokenize(stem.decode())])
+            elif _PLAIN.fullmatch(low := stem.decode().lower()):
+                cache[stem] = b"".join([written[i] for i in _piece(model, low)])
+            else:
+                odd.append(w)
+                continue
+        if stem is not w:
+            cache[w] = cache[stem] + s["marks"][w[-1]]
+    for at in range(0, len(odd), 4096):
+        part = odd[at : at + 4096]
         for w, e in zip(part, tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
             cache[w] = np.array(e.ids, kind).tobytes()
     get = cache.__getitem__
