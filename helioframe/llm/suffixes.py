@@ -110,7 +110,8 @@ def _blocks(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         last = stop - 1 + SPAN
         body = (total[last] - total[turn]) * _INVERSE[turn]
         body = (body ^ (stop - turn).astype(np.uint64) * _M2) * _M1
-        out.append((h[anchor[turn]], body ^ (body >> np.uint64(32)), turn + at, stop - 1 + at, anchor[turn] + at))
+        name = (h[anchor[turn]] ^ _M1) * _M2  # least hashes crowd the low end; mixed again, they fill all buckets alike
+        out.append(((name ^ (name >> np.uint64(32))) * _M3, body ^ (body >> np.uint64(32)), turn + at, stop - 1 + at, anchor[turn] + at))
     if not out:
         return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out))
