@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a rare line are aligned with patience diff; common blocks are deleted from the later document. A
-document is paired with the first holder of each of its rare shared lines, so that a line in n documents gives n - 1
-pairs and not n^2. Exact copies (line by line) are one document until the end; the later ones lose all their lines.
+Documents that share a line are aligned with patience diff; common blocks are deleted from the later document. A
+document is paired with the first holder of each of its shared lines, however many hold it, so that a line in n
+documents gives n - 1 pairs and not n^2. Exact copies (line by line) are one document until the end; the later ones lose all their lines.
 """
 
 from __future__ import annotations
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from helioframe.llm.common import ship, stage
 
-#: A line of at most so many distinct documents is rare; a document without one uses its rarest shared lines.
-RARE = 16
 #: A common block is deleted if it has so many lines that are not blank, or so many characters.
 MIN_LINES, MIN_CHARS = 3, 40
 
@@ -110,11 +108,8 @@ def cuts(docs: DataFrame) -> DataFrame:
     own = stage(rows.join(first.select(F.col("first").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "own")
 
     lines = own.select("id", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("h", "size"), lambda x: x["size"] > 0), lambda x: x["h"]))).alias("line"))
-    shared = stage(lines.groupBy("line").agg(F.count("*").alias("df"), F.min("id").alias("holder")).where("df > 1"), "shared")
-    linked = lines.join(shared, "line").where("holder != id")
-    chosen = linked.groupBy("id").agg(F.min("df").alias("least"), F.collect_set(F.struct("df", "holder")).alias("x"))  # at most one for each of its lines
-    partner = chosen.select("id", F.explode(F.array_distinct(F.transform(F.filter("x", lambda y: y["df"] <= F.greatest(F.lit(RARE), F.col("least"))), lambda y: y["holder"]))).alias("partner"))
-    pairs = stage(partner, "pairs")
+    shared = stage(lines.groupBy("line").agg(F.count("*").alias("df"), F.min("id").alias("holder")).where("df > 1").select("line", "holder"), "shared")
+    pairs = stage(lines.join(shared, "line").where("holder != id").select("id", F.col("holder").alias("partner")).distinct(), "pairs")
 
     side = own.select(F.col("id").alias("partner"), F.col("h").alias("ph"))
     both = pairs.join(side, "partner").join(own.select("id", "h", "size"), "id").select("id", "h", "size", "ph")

@@ -357,6 +357,34 @@ def test_lines(spark):
     assert lines.digest(df.where("false")).count() == 0
 
 
+def plain_cuts(rows: list[str]) -> list[str]:
+    """What stays of each text if it is aligned with every earlier one."""
+    split = [[x.strip(" \t\n\v\f\r") for x in t.split("\n")] for t in rows]
+    out = []
+    for d, mine in enumerate(split):
+        drop = set()
+        for theirs in split[:d]:
+            for _, at, n in lines.patience(theirs, mine):
+                full = [i for i in range(at, at + n) if mine[i]]
+                if len(full) >= lines.MIN_LINES or sum(len(mine[i]) for i in full) >= lines.MIN_CHARS:
+                    drop.update(full)
+        out.append("\n".join(x for i, x in enumerate(rows[d].split("\n")) if i not in drop))
+    return out
+
+
+def test_lines_rare_and_frequent(spark):
+    """Documents that share a rare passage with one document and a frequent one with many."""
+    r = random.Random(12)
+    frequent = [f"frequent passage {i}, long enough to be cut by itself" for i in range(3)]
+    rare = [f"rare passage {i}, which few hold and is long enough too" for i in range(12)]
+    rows = []
+    for d in range(60):
+        held = [x for x in frequent if r.random() < 0.7] + [x for x in rare if r.random() < 0.1]
+        rows.append("\n".join(y for i, x in enumerate(held) for y in (f"own {d} {i}", x)) + f"\nlast {d}")
+    got = {x["doc_id"]: x["kept_text"] for x in lines.dedup(table_of(spark, rows)).collect()}
+    assert [got[10 + d] for d in range(60)] == plain_cuts(rows)
+
+
 # op3, op4
 
 
