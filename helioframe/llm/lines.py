@@ -2,7 +2,8 @@
 
 Documents that share a line are aligned with patience diff; common blocks are deleted from the later document. A
 document is paired with the first holder of each of its shared lines, however many hold it, so that a line in n
-documents gives n - 1 pairs and not n^2. Exact copies (line by line) are one document until the end; the later ones lose all their lines.
+documents gives n - 1 pairs and not n^2. The same goes for each run of neighbouring lines that can be cut as a block,
+as the first holders of its lines need not hold the run. Exact copies (line by line) are one document until the end; the later ones lose all their lines.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helioframe.llm.common import ship, stage
@@ -93,6 +94,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__id", F.struct(F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("t")))
 
 
+def _runs_of(n: int) -> Column:
+    there = lambda i: [F.get("x", i + k) for k in range(n)]
+    at = F.sequence(F.lit(0), F.size("x") - n)
+    if n < MIN_LINES:
+        at = F.filter(at, lambda i: sum((y["size"] for y in there(i)), F.lit(0)) >= MIN_CHARS)
+    run = F.transform(at, lambda i: F.xxhash64(*[c for y in there(i) for c in (y["h"], y["at"] - F.get("x", i)["at"])]))
+    return F.when(F.size("x") >= n, run).otherwise(F.array().cast("array<long>"))
+
+
+def runs(own: DataFrame) -> DataFrame:
+    """(id, keys): hashes of each line that is not blank, and of each run of up to MIN_LINES such lines, with the blank
+    ones between them, that is a block to delete. Every larger block consists of such runs."""
+    full = F.filter(F.transform(F.arrays_zip("h", "size"), lambda x, i: F.struct(x["h"].alias("h"), x["size"].alias("size"), i.alias("at"))), lambda x: x["size"] > 0)
+    lines = own.select("id", full.alias("x"))
+    keys = [F.transform("x", lambda x: x["h"]), *[_runs_of(n) for n in range(2, MIN_LINES + 1)]]
+    return lines.select("id", F.array_distinct(F.concat(*keys)).alias("keys"))
+
+
 def cuts(docs: DataFrame) -> DataFrame:
     """(id, all, cut) of each document that loses lines: all of them, or those at the places in `cut`."""
     ship(docs.sparkSession)
@@ -107,7 +126,8 @@ def cuts(docs: DataFrame) -> DataFrame:
     copies = stage(copies, "copies")
     own = stage(rows.join(first.select(F.col("first").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "own")
 
-    lines = own.select("id", F.explode(F.array_distinct(F.transform(F.filter(F.arrays_zip("h", "size"), lambda x: x["size"] > 0), lambda x: x["h"]))).alias("line"))
+    # Of a plain explode, size(keys) > 0 would be pushed below, with the arrays' expressions computed for every element.
+    lines = runs(own).select("id", F.explode_outer("keys").alias("line")).where("line is not null")
     shared = stage(lines.groupBy("line").agg(F.count("*").alias("df"), F.min("id").alias("holder")).where("df > 1").select("line", "holder"), "shared")
     pairs = stage(lines.join(shared, "line").where("holder != id").select("id", F.col("holder").alias("partner")).distinct(), "pairs")
 

@@ -385,6 +385,21 @@ def test_lines_rare_and_frequent(spark):
     assert [got[10 + d] for d in range(60)] == plain_cuts(rows)
 
 
+def test_lines_of_runs(spark):
+    """Blocks of short lines whose lines have other first holders: the block, not its lines, leads to a document that holds it."""
+    short = [f"short {i}" for i in range(9)]
+    half = ["a line of over twenty letters", "one more line of such a length"]
+    rows = [f"{x}\nown {i}" for i, x in enumerate(short + half)]
+    menu = [short[0], "", *short[1:5]]
+    rows += ["\n".join([f"top {i}", *menu, f"mid {i}", *half, f"end {i}"]) for i in range(3)]
+    rows += ["\n".join([short[5], "", short[6], short[7], "x"]), "\n".join(["y", *short[5:8], "z"]), "\n".join(["v", *short[5:8], "w"])]
+    rows += ["\n".join([*menu, short[8]]), "\n".join([short[0], short[2], "", short[1]])]
+    got = {x["doc_id"]: x["kept_text"] for x in lines.dedup(table_of(spark, rows)).collect()}
+    want = plain_cuts(rows)
+    assert want[12] == "top 1\n\nmid 1\nend 1" and want[16] == "v\nw"
+    assert [got[10 + d] for d in range(len(rows))] == want
+
+
 # op3, op4
 
 
