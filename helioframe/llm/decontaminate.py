@@ -2,8 +2,9 @@
 
 An item is contained in a document if some window of the document, as many words long as the item, has a weighted
 Jaccard similarity of its 5-word shingles (weights: how often each occurs) of at least 0.8. Such a window shares at
-least 2t/(1+t) of the item's shingles, so it holds one of the item's rarest few; windows that hold none of them are
-never fingerprinted, which loses nothing. Windows and items get a SimHash of 64 bits; blocks of 8 bits within 3
+least 0.8 of the item's shingles (a full one 2t/(1+t) of them, but a document shorter than the item may be a window of
+just 0.8), so it holds one of the item's rarest few; windows that hold none of them are never fingerprinted, which
+loses nothing. Windows and items get a SimHash of 64 bits; blocks of 8 bits within 3
 flips of an item's block cover every fingerprint within 24 bits (pigeonhole), the distance beyond which a pair of
 similarity 0.8 (9.7 bits expected, deviation 2.9) practically never lies. Exact similarity verifies what is left.
 """
@@ -77,7 +78,7 @@ def _contaminated(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     every = item.select("item_id", "m", F.explode("s").alias("h"))
     common = every.groupBy("h").agg(F.count_distinct("item_id").alias("df"))
     ranked = every.join(common, "h").groupBy("item_id", "m").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r"))  # one item's shingles
-    need = F.col("m") - F.ceil(F.col("m") * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-9) + 1
+    need = F.col("m") - F.ceil(F.col("m") * SIMILARITY - 1e-9) + 1  # right for windows of any length
     seeds = ranked.select("item_id", "m", F.explode(F.slice("r", 1, F.least(F.col("m"), need.cast("int")))).alias("x")).select("item_id", "m", F.col("x.h").alias("h")).distinct()
     seeds = stage(seeds, "seeds")
     n_seeds = seeds.count()

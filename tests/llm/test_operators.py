@@ -329,6 +329,21 @@ def test_decontaminate(spark, monkeypatch):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {10 + d for d in range(len(rows))} - {d for d, i in want if i < 2}
 
 
+def test_decontaminate_shorter_documents(spark):
+    """Items cut to 80 % of their shingles, at either end: documents shorter than the item, of similarity 0.8."""
+    items = {i: [f"i{i}w{j}" for j in range(n)] for i, n in enumerate([9, 14, 19, 24] * 20)}
+    rows, want = [], set()
+    for i, t in items.items():
+        gone = (len(t) - 4) // 5
+        for text, close in ((t[:-gone], True), (t[gone:], True), (t[: -gone - 1], False)):
+            if close:
+                want.add((10 + len(rows), i))
+            rows.append(" ".join(text))
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    got = decontaminate.digest(table_of(spark, rows), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and all(r["similarity"] == pytest.approx(0.8) for r in got)
+
+
 # op1
 
 
