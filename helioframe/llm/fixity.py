@@ -1,4 +1,4 @@
-"""Merkle fixity audit of WARC replicas: record digests and ordered offset ranges hashed into trees.
+"""Merkle fixity audit of WARC replicas: record digests and lengths hashed into trees, offsets beside them.
 
 A leaf stands for a record's place in its file and hashes the digests and lengths found there. FANOUT neighbours, in
 order, are hashed into their parent, up to one root for each file; the files are leaves of a tree over the archive in
