@@ -1,26 +1,31 @@
-"""Helpers that the training-data operators share: text columns, staging tables, connected components."""
+"""Helpers that the training-data operators share: text columns, staged tables, joins on hot keys, connected components."""
 
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
+import weakref
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helioframe.plans.workers import ship  # noqa: F401  (operators take it from here)
+
 #: What separates words everywhere in this subpackage: space, tab, \n, \v, \f, \r.
 SPACES = r"[\x20\x09-\x0D]+"
+#: Keys with over total / HOT rows, fewer than HOT of them at any size, are joined by broadcast; none with so few rows.
+HOT, HOT_ROWS = 100_000, 1000
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: Folders of staged tables that may still be read.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="helioframe-")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_helioframe"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -41,18 +46,52 @@ def drop_folder(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: the lineage is cut, and the loss of an executor costs nothing."""
+def stage(df: DataFrame, name: str, done: Iterable[DataFrame] = ()) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: the lineage is cut, and the loss of an executor costs nothing.
+
+    `done` are staged tables that nothing reads after this one; their folders are removed.
+    """
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    drop(*done)
+    return out
+
+
+def drop(*staged: DataFrame) -> None:
+    """Remove the folders of staged tables that nothing reads any more."""
+    for df in staged:
+        drop_folder(df.sparkSession, _folders.pop(df))
+
 
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart, in any case, from those taken."""
+    held, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        held.add(name.lower())
+        out.append(name)
+    return out
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where the driver's source tree is visible to them."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+
+def apart(df: DataFrame, prefix: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with its columns that start with the prefix under other names, and what selects df's columns by their own names again."""
+    names = dict(zip(df.columns, (x if not x.lower().startswith(prefix) else f"own{i}{x}" for i, x in enumerate(df.columns))))
+    return df.toDF(*names.values()), lambda out: out.select(*[F.col(f"`{b}`").alias(a) for a, b in names.items()])
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str | list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right on columns of both; right has one row for each key, and in n how often left has it.
+
+    The keys that have over total / HOT of left's rows are fewer than HOT, however large the tables are. They are
+    broadcast, so that no task gets all rows of one; the other keys are shuffled. n is dropped.
+    """
+    limit = max(HOT_ROWS, total // HOT)
+    hot, rest = right.where(F.col(n) > limit).drop(n), right.where(F.col(n) <= limit).drop(n)
+    key = F.broadcast(hot.select(on))
+    return left.join(F.broadcast(hot), on).unionByName(left.join(key, on, "left_anti").join(rest, on, how))
 
 
 def words(text: Column) -> Column:
@@ -72,7 +111,8 @@ def where_late(df: DataFrame, condition: Column) -> DataFrame:
     inside lambdas, where it would be computed again for every element. A row number that the condition looks at keeps
     it above.
     """
-    return df.withColumn("__late", F.monotonically_increasing_id()).where(condition & (F.col("__late") >= 0)).drop("__late")
+    (late,) = unused(df.columns, "__late")
+    return df.withColumn(late, F.monotonically_increasing_id()).where(condition & (F.col(late) >= 0)).drop(late)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,19 +123,25 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the edges (a, b): each node with the least node that it reaches, as (node, root).
 
     Minimum labels spread along the edges, then every label is replaced by its own label (pointer jumping),
-    so that a path of n nodes takes about log n rounds. Each round is written to the shared folder;
-    the driver sees one count of changed labels. Both steps are minimum aggregations and plain joins,
-    so a hub with very many links is combined before the shuffle and split by adaptive execution.
+    so that a path of n nodes takes about log n rounds; beyond `rounds` it raises. Each round is written to the shared
+    folder, and the one before is removed; the driver sees counts only. Hubs with very many links, and roots of very
+    large components, are joined by broadcast (join_hot), so that no task gets all of their rows.
     """
     both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("root")), "labels")
+    total = both.count()
+    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"), F.count("*").alias("n")).select("node", F.least("node", "least").alias("root"), "n"), "labels")
+    nodes = labels.count()
     for _ in range(rounds):
-        seen = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("root").alias("near"))
-        spread = labels.join(seen, labels.node == seen.a).select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        spread = stage(spread, "spread")
-        up = spread.select(F.col("node").alias("up"), F.col("root").alias("top"))
-        moved = stage(spread.join(up, spread.root == up.up).select("node", F.least("root", "top").alias("root"), "was"), "labels")
-        labels = moved.select("node", "root")
+        near = join_hot(both, labels.withColumnRenamed("node", "b"), "b", "n", total).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        spread = stage(labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"), "n"), "spread", [labels])
+        tops = spread.groupBy("root").agg(F.count("*").alias("held")).join(spread.select(F.col("node").alias("root"), F.col("root").alias("top")), "root")
+        tops = stage(tops, "tops")
+        moved = stage(join_hot(spread, tops, "root", "held", nodes).select("node", F.least("root", "top").alias("root"), "was", "n"), "labels", [spread, tops])
+        labels = moved.drop("was")
+        _folders[labels] = _folders.pop(moved)
         if moved.where("root != was").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+            drop(both)
+            out = labels.select("node", "root")
+            _folders[out] = _folders.pop(labels)
+            return out
+    raise RuntimeError(f"components did not settle within {rounds} rounds")

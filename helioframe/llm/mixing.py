@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helioframe.llm.common import n_words, stage
+from helioframe.llm.common import apart, n_words, stage
 
 #: Weights of the sources in code-point order (null last), repeated.
 WEIGHTS, LIMIT, SEED = (5, 2, 1), 3, "mix-1"
@@ -41,14 +41,15 @@ P = "__mix_"
 
 
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """The columns of docs with size, source_size, target and copies (how often the mix takes the row), prefixed with P.
+    """The columns of docs with size, source_size, target and copies (how often the mix takes the row), prefixed with P;
+    columns of docs that start with P are left out.
 
     The rate is target / source_size. Null texts have size 0; null sources are one source, last in order. A source of
     size 0 has target 0 and takes nothing. Rows that repeat a doc_id draw alike; null ids draw as the empty string.
     """
-    sized = docs.withColumn(P + "size", n_words(F.col("text").cast("string")))
+    sized = docs.select([c for c in docs.columns if not c.lower().startswith(P)]).withColumn(P + "size", n_words(F.col("text").cast("string")))
     sizes = stage(sized.groupBy("source").agg(F.sum(P + "size").alias("source_size")), "sizes")
-    goal = stage(targets(sizes, weights, limit), "targets").select(F.col("source").alias(P + "of"), F.col("source_size").alias(P + "source_size"), F.col("target").alias(P + "target"))
+    goal = stage(targets(sizes, weights, limit), "targets", [sizes]).select(F.col("source").alias(P + "of"), F.col("source_size").alias(P + "source_size"), F.col("target").alias(P + "target"))
     both = sized.join(F.broadcast(goal) if goal.count() <= BROADCAST_ROWS else goal, sized.source.eqNullSafe(F.col(P + "of")), "left")
     rate = F.coalesce(F.try_divide(P + "target", F.col(P + "source_size").cast("double")), F.lit(0.0))
     times = F.floor(rate) + F.when(draw(F.col("doc_id")) < rate - F.floor(rate), 1).otherwise(0)
@@ -56,9 +57,11 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIM
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
-    """The mix itself: the columns of docs, each row as often as `copies` says."""
-    taken = copies(docs, weights, limit).where(F.col(P + "copies") > 0)
-    return taken.withColumn(P + "copy", F.explode(F.sequence(F.lit(1), F.col(P + "copies").cast("int")))).select(docs.columns)
+    """The mix itself: the columns of docs, each row as often as `copies` says. Null texts have size 0, but their rows
+    are drawn like others of their source. An empty table gives an empty result."""
+    own, back = apart(docs, P)
+    taken = copies(own, weights, limit).where(F.col(P + "copies") > 0)
+    return back(taken.withColumn(P + "copy", F.explode(F.sequence(F.lit(1), F.col(P + "copies").cast("int")))))
 
 
 def digest(docs: DataFrame) -> DataFrame:
