@@ -25,8 +25,9 @@ from helioframe.llm.common import new_folder, ship, stage
 
 MAGIC, HEADER, SAMPLE = b"HFTOKEF1", struct.Struct("<8sIIQQQQQ"), 256
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
-#: Text bytes aimed at for one shard, and the ids at which a shard is closed in any case.
-SHARD_BYTES, SHARD_IDS = 24 << 20, 16 << 20
+#: Text bytes aimed at for one shard, the ids at which a shard is closed in any case, and the most tasks that write.
+#: Beyond so many tasks, each writes several shards.
+SHARD_BYTES, SHARD_IDS, TASKS = 24 << 20, 16 << 20, 20_000
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 700_000
 #: Words of these letters alone are one piece, unchanged by the normaliser.
@@ -178,11 +179,10 @@ def _writer(folder: str, path: str, end_id: int):
 
         def close() -> pa.RecordBatch:
             nonlocal own, ids, sizes, held, k
-            name = f"part-{part:07d}-{k:05d}.tok"
+            name = f"part-{part:07d}-{k:05d}-{TaskContext.get().taskAttemptId()}.tok"  # each try its own; the manifest names those that count
             blob, count = pack(own, np.array(sizes, np.int64), b"".join(ids), width), len(own)
-            with fs.open_output_stream(f"{root}/.{name}-{TaskContext.get().taskAttemptId()}") as out:
+            with fs.open_output_stream(f"{root}/{name}") as out:
                 out.write(blob)
-            fs.move(f"{root}/.{name}-{TaskContext.get().taskAttemptId()}", f"{root}/{name}")  # a retried task puts the same bytes in its place
             row = pa.RecordBatch.from_pylist([{"part": part, "k": k, "name": name, "docs": count, "ids": int(sum(sizes)), "bytes": len(blob)}])
             own, ids, sizes, held, k = [], [], [], 0, k + 1
             return row
@@ -210,7 +210,9 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
     """Encode docs (doc_id, text) into shards in ascending doc_id order; the folder, and the manifest with `start`, the ids before each shard.
 
     Null texts are empty; each document ends with end_id. Null doc_ids come first. Rows that repeat a doc_id follow each
-    other, ordered by a hash of their text. An empty table writes no shard. Text is dealt by doc_id range before it is
+    other, ordered by a hash of their text; rows equal in both are dealt over tasks by their place, as their ids are the
+    same. An empty table writes no shard; more columns are ignored. A shard is a file of its try: if a task is run again,
+    its earlier files are in no manifest, and go with the folder. Text is dealt by doc_id range before it is
     encoded, so that each word is encoded where its shard is written; a shard holds about SHARD_BYTES of text.
     """
     import public_tokenizers
@@ -220,12 +222,13 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
     folder = folder or new_folder(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    key = F.xxhash64("text")
-    dealt = rows.repartitionByRange(max(1, round(total / SHARD_BYTES)), F.col("doc_id"), key).sortWithinPartitions("doc_id", key)
+    key = [F.col("doc_id"), F.xxhash64("text"), F.col("place")]
+    dealt = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(min(TASKS, max(1, round(total / SHARD_BYTES))), *key)
+    dealt = dealt.sortWithinPartitions(*key).drop("place")
     made = dealt.mapInArrow(_writer(folder, public_tokenizers.path(vocabulary), end_id), "part long, k long, name string, docs long, ids long, bytes long")
     manifest = stage(made, "manifest")
     before = Window.orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
-    return folder, stage(manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0))), "index")
+    return folder, stage(manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0))), "index", [manifest])
 
 
 def _reader(folder: str):
