@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,10 @@ def _piece(text: bytes, grams: tuple[int, ...], starts_of: tuple[int, ...], pair
         size = ends - starts
         head = eight[starts] & _MASK[np.minimum(size, 8)]
         tail = eight[ends - 8] & ~_MASK[8 - np.minimum(size, 8)]  # its last eight bytes
-        word = _mix(head * _ODD[0] + tail * _ODD[1] + size.astype(np.uint64) * _ODD[2])
+        word = head * _ODD[0] + tail * _ODD[1] + size.astype(np.uint64) * _ODD[2]
+        for i in np.flatnonzero(size > 16).tolist():  # what lies between its first and last eight bytes
+            word[i] ^= np.uint64(xxhash.xxh64_intdigest(raw[starts[i] + 8 : ends[i] - 8].tobytes()))
+        word = _mix(word)
         out.append(_mix(word ^ _ODD[3]) >> shift)
         for n in starts_of:
             out.append(_mix((head & _MASK[n])[size > n] ^ _ODD[n]) >> shift)
