@@ -1,7 +1,7 @@
 """Suffix-array dedup: remove every byte of a LENGTH-byte string that also starts in an earlier document.
 
 The work is a merge sort of suffixes that knows common prefixes. Each chunk of documents sorts its suffixes and sends
-them, front-coded (length shared with the one before, and the rest), to ranges of the string order; each range merges
+them, front-coded (length shared with the one before, and the rest), to ranges of the order; each range merges
 its runs with a loser tree whose nodes keep the prefix they share with the last output, so that known prefixes are
 never compared again. Equal neighbours are one string, and its least document keeps it.
 
@@ -9,17 +9,18 @@ Only suffixes that can have an equal in another document are sent. Every LENGTH-
 piece of least hash in it, its anchor; equal windows select the same one. Neighbouring windows with one anchor form a
 block. A first exchange of anchor and block hashes tells each block whether its anchor occurs in several documents;
 else none of its windows can. A block is sent as the suffix that starts at its anchor, followed by what stands before
-the anchor. In the merged order the blocks of an anchor are neighbours that share GRAM bytes: equal ones are decided
-whole, and where they differ, window by window. Anchors with very many different blocks send single windows instead,
-which the order deals over many ranges. Hashes only decide what is sent; equality is decided on bytes.
+the anchor. The order is by four bytes hashed from the anchor, then by the string: so all ranges are alike long, however
+many there are, and no splitters are needed. In the merged order the blocks of an anchor are neighbours that share GRAM
+bytes: equal ones are decided whole, and where they differ, by a table of their windows. Anchors with very many
+different blocks send single windows instead, which the order deals over many ranges. Hashes only decide what is sent
+and where; equality is decided on bytes.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
-from bisect import bisect_left
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +36,14 @@ LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # anchors that a window chooses from
 #: Text bytes of a chunk, entries of a hash bucket and of a range aimed at, bytes hashed at a time.
 CHUNK, BUCKET, RANGE, PIECE = 8 << 20, 1 << 18, 200_000, 1 << 20
-SAMPLE = 4096
 #: An anchor with more block kinds than MANY in one chunk, or CROWD entries in all, sends single windows.
 MANY, CROWD = 8, 5000
-_ANCHORED, _SINGLE = b"\0", b"\1"
+#: A string begins with four bytes that say where it lies in the order, and one that says what it is.
+_ANCHORED, _SINGLE, HEAD = b"\0", b"\1", 5
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _POWER = np.cumprod(np.full(PIECE + (1 << 17), 0xF58B6A3D1C9E4B27, np.uint64))
 _INVERSE = np.cumprod(np.full(PIECE + (1 << 17), pow(0xF58B6A3D1C9E4B27, -1, 1 << 64), np.uint64))
-_CHUNK = "chunk long, ids binary, ends binary, text binary, some array<binary>"
+_CHUNK = "chunk long, ids binary, ends binary, text binary"
 
 
 def _chunks(size: int):
@@ -54,9 +55,8 @@ def _chunks(size: int):
 
         def row():
             ends, whole = np.cumsum([len(t) for t in texts]).astype("<i8"), b"".join(texts)
-            some = [whole[i : i + LENGTH] for i in range(0, len(whole), len(whole) // 16 + 1)]  # for the splitters of ranges
             cells = [pa.array([x], pa.binary()) for x in (np.array(ids, "<i8").tobytes(), ends.tobytes(), pack.compress(whole))]
-            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + k]), *cells, pa.array([some], pa.list_(pa.binary()))], names=["chunk", "ids", "ends", "text", "some"])
+            return pa.RecordBatch.from_arrays([pa.array([(part << 24) + k]), *cells], names=["chunk", "ids", "ends", "text"])
 
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
@@ -226,7 +226,7 @@ def _common(a: bytes, b: bytes, known: int) -> int:
     return step
 
 
-def _suffixes(bits: int, splitters: list[bytes], many: int):
+def _suffixes(bits: int, ranges: int, many: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
@@ -238,7 +238,7 @@ def _suffixes(bits: int, splitters: list[bytes], many: int):
                     n, own = x["n"], np.unpackbits(np.frombuffer(x["bits"], np.uint8)).astype(bool)
                     send[c.sent[at : at + n]], single[c.sent[at : at + n]] = own[:n], own[n : 2 * n]
                     at += n
-                entries, gone = _entries(c, send | c.hot, single | c.hot)
+                entries, gone = _entries(c, send | c.hot, single | c.hot, bits)
                 entries.sort()
                 # Within the chunk, a string's least document stands for it; later ones lose it here and now.
                 kept, least, string = [], 0, None
@@ -246,23 +246,23 @@ def _suffixes(bits: int, splitters: list[bytes], many: int):
                     if x[:2] != string:
                         string, least = x[:2], x[2]
                     if x[2] > least:
-                        gone.append((x[3], len(x[0]) - 1))
+                        gone.append((x[3], len(x[0]) - HEAD))
                     else:
                         kept.append(x)
                 del entries
                 if gone:
                     yield _row(-1 - chunk, chunk, _spans(gone))  # a group of its own, which the merge hands on
-                low, strings = 0, [x[0] for x in kept]
-                for r in range(len(splitters) + 1):
-                    high = bisect_left(strings, splitters[r], low) if r < len(splitters) else len(strings)
+                first = np.frombuffer(b"".join([x[0][:4] for x in kept]), ">u4").astype(np.uint64)
+                of = (first * np.uint64(ranges)) >> np.uint64(32)
+                cut = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(kept)]
+                for low, high in zip(cut[:-1], cut[1:]):
                     if high > low:
-                        yield _row(r, chunk, pack.compress(_front_code(kept[low:high])))
-                    low = high
+                        yield _row(int(of[low]), chunk, pack.compress(_front_code(kept[low:high])))
 
     return run
 
 
-def _entries(c: _Chunk, send: np.ndarray, single: np.ndarray) -> tuple[list[tuple[bytes, int, int, int]], list[tuple[int, int]]]:
+def _entries(c: _Chunk, send: np.ndarray, single: np.ndarray, bits: int) -> tuple[list[tuple[bytes, int, int, int]], list[tuple[int, int]]]:
     """(string, bytes before the anchor, document, place) of what a chunk sends, and the (place, length) it can already remove.
 
     Later documents' blocks that equal the first of their class are removed here; the first is sent, and so are its
@@ -271,19 +271,21 @@ def _entries(c: _Chunk, send: np.ndarray, single: np.ndarray) -> tuple[list[tupl
     text, entries, gone = c.text, [], []
     first, last, doc, anchor = c.first[c.order].tolist(), c.last[c.order].tolist(), c.doc[c.order].tolist(), c.at[c.order].tolist()
     heads, sizes, alone = c.head.tolist(), c.size.tolist(), single.tolist()
+    place = (c.anchor >> np.uint64(bits - 32) if bits > 32 else c.anchor << np.uint64(32 - bits)).astype(">u4").tobytes()
     for k in np.flatnonzero(send).tolist():
         i = heads[k]
         a, d = first[i], doc[i]
-        s = text[a : last[i] + LENGTH]
+        s, begin = text[a : last[i] + LENGTH], place[4 * k : 4 * k + 4] + _ANCHORED
         for j in range(i, i + sizes[k]):
             b, z, e = first[j], last[j], doc[j]
             if j > i and e > d and text[b : z + LENGTH] == s:
                 gone.append((b, len(s)))
             elif alone[k]:
-                entries += [(_SINGLE + text[p : p + LENGTH], 0, e, p) for p in range(b, z + 1)]
+                windows = [text[p : p + LENGTH] for p in range(b, z + 1)]
+                entries += [(zlib.crc32(w).to_bytes(4, "big") + _SINGLE + w, 0, e, p) for p, w in enumerate(windows, b)]
             else:
                 m = anchor[j]
-                entries.append((_ANCHORED + text[m : z + LENGTH] + text[b:m], m - b, e, b))
+                entries.append((begin + text[m : z + LENGTH] + text[b:m], m - b, e, b))
     return entries, gone
 
 
@@ -391,7 +393,7 @@ def _decide(group: list[tuple[bytes, int, int, int, int]], gone: list[list[tuple
         least = min(x[2] for x in members)
         for x in members:
             if x[2] > least:
-                gone[x[3]].append((x[4], len(string) - 1))
+                gone[x[3]].append((x[4], len(string) - HEAD))
             else:
                 leaders.append(x)
     if len(classes) == 1:
@@ -399,7 +401,7 @@ def _decide(group: list[tuple[bytes, int, int, int, int]], gone: list[list[tuple
     windows: dict[bytes, int] = {}
     blocks = []
     for string, before, d, r, p in leaders:
-        block = string[len(string) - before :] + string[1 : len(string) - before]
+        block = string[len(string) - before :] + string[HEAD : len(string) - before]
         own = [block[i : i + LENGTH] for i in range(len(block) - LENGTH + 1)]
         blocks.append((own, d, r, p))
         for w in own:
@@ -428,7 +430,7 @@ def _merge(table: pa.Table) -> pa.Table:
     group: list[tuple[bytes, int, int, int, int]] = []
     for r, shared in merge(runs):
         run, string = runs[r], runs[r].string
-        together = shared > GRAM if string[:1] == _ANCHORED else shared == len(string)
+        together = shared >= HEAD + GRAM if string[4:HEAD] == _ANCHORED else shared == len(string)
         if not together:
             if len(group) > 1:
                 _decide(group, gone)
@@ -481,20 +483,12 @@ def dedup(docs: DataFrame, with_text: bool = True, chunk: int = CHUNK, many: int
     buckets = max(1, round(3 * total / 18 / BUCKET))
     texts = chunks.select("chunk", "ids", "ends", "text")
     sent = texts.mapInArrow(_hashes(bits, buckets, many), "bucket int, chunk long, data binary")
-    some = [bytes(r[0]) for r in chunks.select(F.explode("some").alias("s")).orderBy(F.xxhash64("s"), "s").limit(SAMPLE).collect()]
     answers = stage(sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, crowd), "chunk long, bucket int, n long, bits binary, weight long"), "answers")
     weight = answers.agg(F.sum("weight")).first()[0] or 0
-    ranges = min(max(1, round(weight / per_range)), SAMPLE // 2)
-    some.sort()
-    cuts = sorted({some[len(some) * i // ranges] for i in range(1, ranges)}) if some else []
-    # A range starts at a whole anchor, so that the blocks of one anchor meet.
-    splitters = sorted({_ANCHORED + x[:GRAM] for x in cuts}) + [_SINGLE] + [_SINGLE + x for x in cuts]
+    ranges = max(1, round(weight / per_range))
     told = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("answers"))  # one chunk's
-    del sent
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files of the hashes
-    runs = texts.join(told, "chunk", "left").select(*texts.columns, "answers").mapInArrow(_suffixes(bits, splitters, many), "range long, chunk long, data binary")
-    merged = stage(runs.groupBy("range").applyInArrow(_merge, "chunk long, spans binary"), "merged")
+    runs = texts.join(told, "chunk", "left").select(*texts.columns, "answers").mapInArrow(_suffixes(bits, ranges, many), "range long, chunk long, data binary")
+    merged = stage(runs.groupBy("range").applyInArrow(_merge, "chunk long, spans binary"), "merged", [answers])
     spans = merged.groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     done = chunks.join(spans, "chunk", "left").select("ids", "ends", "text", "spans").mapInArrow(_finish(with_text), schema)
