@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helioframe.llm import decontaminate, fixity, lines, mixing, quality, rules, simhash, suffixes, tokens, toxicity
+from helioframe.llm import decontaminate, fixity, lines, mixing, oracles, quality, rules, simhash, suffixes, tokens, toxicity
 from helioframe.llm.common import table
 
 QUERIES = {
@@ -18,4 +18,4 @@ QUERIES = {
     "op10_simhash": lambda spark, sf: simhash.near_duplicates(table(spark, sf, "documents")),
 }
 
-ORACLE_SQL = {"op5_fixity": fixity.ORACLE, "op8_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op5_fixity": fixity.ORACLE, "op8_mixing": mixing.ORACLE, **oracles.ORACLE_SQL}
