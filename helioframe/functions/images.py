@@ -1,7 +1,7 @@
 """Image kernels as column expressions over a struct of height, width, channels, dtype and row-major values (channel last).
 
-All work is in DOUBLE inside generated code; an image stays one row. Splines of order 2 and 3 are the exception: see
-splines.py.
+All work is in DOUBLE and an image stays one row. Kernels over single values are higher-order functions in the JVM, which
+Spark interprets value by value; resizing and turning look up neighbours, and run in numpy: see sampling.py.
 """
 
 from __future__ import annotations
@@ -39,15 +39,6 @@ def clamp(x: Column, low: Column, high: Column) -> Column:
     return F.when(F.isnan(x), x).otherwise(F.greatest(low, F.least(high, x)))
 
 
-def as_kind(x: Column, dtype: Column) -> Column:
-    """A value as an image of this kind holds it: integers clipped and cut towards zero (NaN: 0), float32 rounded, others as they are."""
-    out = F.when(dtype == "float32", x.cast("float").cast("double"))
-    for name, (low, high) in LIMITS.items():
-        cut = F.when(F.isnan(x), 0.0).otherwise(F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
-        out = out.when(dtype == name, F.when(cut < 0, F.ceil(cut)).otherwise(F.floor(cut)).cast("double"))
-    return out.otherwise(x)
-
-
 def value_range(img: Column) -> tuple[Column, Column]:
     """Least and greatest value without NaN; null if there is none."""
     known = F.filter(img["data"], lambda v: ~F.isnan(v))
@@ -158,53 +149,13 @@ def crop_or_pad(img: Column, target_size: int | tuple[int, int], pad_value: floa
     return _moved(img, (h, w), lambda im: (shift(im["height"], h), shift(im["width"], w)), pad_value)
 
 
-def _sampled(img: Column, height: int, width: int, at, order: int, cval: float) -> Column:
-    """Samples the source at the real places at(y, x) gives, nearest (0) or bilinear (1); outside it is cval."""
-    c, h, w = img["channels"], img["height"], img["width"]
-
-    def pixel(y: Column, x: Column, k: Column) -> Column:
-        return F.get(img["data"], ((y * w + x) * c + k).cast("int"))
-
-    def one(i: Column) -> Column:
-        sy, sx = at(F.floor(i / (c * width)).cast("double"), (F.floor(i / c) % width).cast("double"))
-        k = i % c
-        if order == 0:
-            value = pixel(F.floor(sy + 0.5), F.floor(sx + 0.5), k)
-        else:
-            y0, x0 = F.floor(sy), F.floor(sx)
-            y1, x1 = F.least(y0 + 1, h - 1), F.least(x0 + 1, w - 1)
-            fy, fx = sy - y0, sx - x0
-            value = pixel(y0, x0, k) * (1 - fy) * (1 - fx) + pixel(y0, x1, k) * (1 - fy) * fx + pixel(y1, x0, k) * fy * (1 - fx) + pixel(y1, x1, k) * fy * fx
-        inside = (sy >= 0) & (sy <= h - 1) & (sx >= 0) & (sx <= w - 1)
-        return F.when(inside, value).otherwise(float(cval))
-
-    return _like(img, F.transform(F.sequence(F.lit(0), c * (height * width) - 1), one), F.lit(height), F.lit(width))
-
-
-def kept_range(img: Column, preserve: bool) -> Column:
-    """Values as the image's kind holds them, or, without preserving, float64."""
-    if not preserve:
-        return bound(img, lambda im: _like(im, im["data"], dtype="float64"))
-    return bound(img, lambda im: _like(im, F.transform(im["data"], lambda v: as_kind(v, im["dtype"]))))
-
-
 def resize_image(img: Column, size: tuple[int, int], order: int = 1, preserve_range: bool = True) -> Column:
     """The image at another size, corners on corners; order 0 nearest, 1 bilinear, 2 and 3 splines."""
-    h, w = size
-    if order in (2, 3):
-        from helioframe.functions.splines import resized
+    from helioframe.functions.sampling import resized
 
-        return resized(img, h, w, order, preserve_range)
-    if order not in (0, 1):
+    if order not in (0, 1, 2, 3):
         raise ValueError("order must be 0, 1, 2 or 3")
-    edge = lambda v, n: F.least(v, (n - 1).cast("double"))  # noqa: E731  the last place may come out an ulp outside
-
-    def made(im: Column) -> Column:
-        sy = (im["height"] - 1).cast("double") / float(h - 1) if h > 1 else F.lit(0.0)
-        sx = (im["width"] - 1).cast("double") / float(w - 1) if w > 1 else F.lit(0.0)
-        return _sampled(im, h, w, lambda y, x: (edge(y * sy, im["height"]), edge(x * sx, im["width"])), order, 0.0)
-
-    return kept_range(bound(img, made), preserve_range)
+    return resized(img, *size, order, preserve_range)
 
 
 def rotation(angle: float, height: int, width: int, reshape: bool) -> tuple[tuple[float, float], tuple[float, float], int, int]:
@@ -223,14 +174,11 @@ def rotation(angle: float, height: int, width: int, reshape: bool) -> tuple[tupl
 
 def rotate_image(img: Column, angle: float, shape: tuple[int, int], order: int = 1, reshape: bool = False, cval: float = 0, preserve_range: bool = True) -> Column:
     """Images of one shape turned by an angle in degrees; with reshape the canvas holds the whole image. Outside is cval."""
-    (c, s), (oy, ox), h, w = rotation(angle, *shape, reshape)
-    if order in (2, 3):
-        from helioframe.functions.splines import turned
+    from helioframe.functions.sampling import turned
 
-        return turned(img, angle, shape, order, reshape, cval, preserve_range)
-    if order not in (0, 1):
+    if order not in (0, 1, 2, 3):
         raise ValueError("order must be 0, 1, 2 or 3")
-    return kept_range(bound(img, lambda im: _sampled(im, h, w, lambda y, x: (y * c + x * s + oy, y * -s + x * c + ox), order, cval)), preserve_range)
+    return turned(img, angle, shape, order, reshape, cval, preserve_range)
 
 
 resize, rotate, bytescale, pad = resize_image, rotate_image, bytescale_image, pad_image

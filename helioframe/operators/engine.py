@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import logging
+import re
 import uuid
 from collections.abc import Mapping, Sequence
 from typing import Any
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helioframe.operators import relational
+from helioframe.plans.dialect import from_postgres
 from helioframe.plans.text import ColumnSpec, bind_marks, column_spec, pretty_size
 
 _log = logging.getLogger("helioframe")
@@ -36,6 +38,7 @@ class Engine:
         self.database, self.logger = database or "main", logger or _log
         if logger is None:
             _log.setLevel(logging.INFO if log_queries else logging.WARNING)
+        self._views: set[str] = set()
         self.create_schema("public")
 
     def __enter__(self) -> Engine:
@@ -45,13 +48,18 @@ class Engine:
         self.close()
 
     def close(self, stop: bool = False) -> None:
-        """Drops temporary views; the session is shared, so it only stops when asked."""
-        for t in self.spark.catalog.listTables():
-            if t.isTemporary:
-                self.spark.catalog.dropTempView(t.name)
+        """Drops the temporary views that this engine made; the session is shared, so it only stops when asked."""
+        for name in sorted(self._views):
+            self.spark.catalog.dropTempView(name)
+        self._views.clear()
         if stop:
             self.spark.stop()
 
+    def view(self, name: str, df: DataFrame) -> None:
+        """Makes a frame known to queries by a name, until the engine is closed."""
+        df.createOrReplaceTempView(name)
+        self._views.add(name)
+
     # Queries
 
     def _space(self, schema: str | None, database: str | None = None) -> str:
@@ -66,15 +74,57 @@ class Engine:
         return self.spark.table(self._name(table_name, schema))
 
     def sql(self, query: str, params: Any = None) -> DataFrame:
-        """A query with %s or %(name)s marks as a lazy frame. Values are bound, and not written to the log."""
+        """A query with %s or %(name)s marks as a lazy frame. Values are bound, and not written to the log.
+
+        Names without a schema are those of `public`; the session's own schema stays what it was. PostgreSQL's ~,
+        DISTINCT ON, generate_series and information_schema are understood, see plans/dialect.py.
+        """
         text, args = bind_marks(query, params)
-        self.logger.info("query: %s (%d parameters)", query, len(args) if args else 0)
+        text = self._information(from_postgres(text))
+        self._say("query: %s (%d parameters)", query, len(args) if args else 0)
+        before, views = self.spark.catalog.currentDatabase(), None
+        if re.match(r"(?is)\s*CREATE\b.*?\bTEMP", text):
+            views = {t.name for t in self.spark.catalog.listTables() if t.isTemporary}
         try:
             self.spark.sql(f"USE {_q(self._space(None))}")
-            return self.spark.sql(text, args=args) if args is not None else self.spark.sql(text)
+            out = self.spark.sql(text, args=args) if args is not None else self.spark.sql(text)
+            if views is not None:
+                self._views |= {t.name for t in self.spark.catalog.listTables() if t.isTemporary} - views
+            return out
         except Exception:
             self.logger.error("query failed: %s", query)
             raise
+        finally:
+            self.spark.sql(f"USE {_q(before)}")
+
+    def _say(self, text: str, *args: object) -> None:
+        self.logger.info(text, *args)
+
+    def _information(self, text: str) -> str:
+        """The text with information_schema's tables as views over the catalog, which are made when they are asked for."""
+        for name in {m.lower() for m in re.findall(r"(?i)\binformation_schema\.(tables|columns|schemata)\b", text)}:
+            view = f"information_schema_{name}"
+            self.view(view, getattr(self, f"_{name}_known")())
+            text = re.sub(rf"(?i)\binformation_schema\.{name}\b", view, text)
+        return text
+
+    def _schemata_known(self) -> DataFrame:
+        return self.spark.createDataFrame([(self.database, x) for x in self.list_schemas()], "catalog_name string, schema_name string")
+
+    def _tables_known(self) -> DataFrame:
+        rows = []
+        for schema in self.list_schemas():
+            space = self._space(schema)
+            rows += [(self.database, schema, t, "BASE TABLE") for t in self._tables(space)]
+            rows += [(self.database, schema, r["viewName"], "VIEW") for r in self.spark.sql(f"SHOW VIEWS IN {_q(space)}").collect() if not r["isTemporary"]]
+        return self.spark.createDataFrame(rows, "table_catalog string, table_schema string, table_name string, table_type string")
+
+    def _columns_known(self) -> DataFrame:
+        rows = []
+        for schema in self.list_schemas():
+            for t in self._tables(self._space(schema)):
+                rows += [(self.database, schema, t, c["column_name"], i, c["data_type"], c["max_length"], c["is_nullable"], c["default_value"]) for i, c in enumerate(self.describe_table(t, schema), 1)]
+        return self.spark.createDataFrame(rows, "table_catalog string, table_schema string, table_name string, column_name string, ordinal_position int, data_type string, character_maximum_length int, is_nullable string, column_default string")
 
     def execute(self, query: str, params: Any = None, fetch: bool = False, dict_cursor: bool = True) -> list | None:
         """Runs a query; with fetch, its rows as dicts or tuples."""
@@ -82,7 +132,7 @@ class Engine:
         if not fetch:
             return None
         rows = [r.asDict() if dict_cursor else tuple(r) for r in out.collect()]
-        self.logger.info("%d rows", len(rows))
+        self._say("%d rows", len(rows))
         return rows
 
     def select(self, table_name: str, columns: Sequence[str] | None = None, where: Mapping[str, Any] | None = None, schema: str | None = None, order_by: str | None = None, limit: int | None = None) -> DataFrame:
@@ -124,23 +174,44 @@ class Engine:
             plain = ", ".join(f"{_q(k)} {'STRING' if kinds[k] == 'VARIANT' or all(isinstance(r[i], str) or r[i] is None for r in text) else kinds[k].split('(')[0].replace('VARCHAR', 'STRING').replace('CHAR', 'STRING') if not kinds[k].startswith('DECIMAL') else kinds[k]}" for i, k in enumerate(keys))
             df = self.spark.createDataFrame([tuple(float(v) if kinds[k] == "DOUBLE" and isinstance(v, int) else v for k, v in zip(keys, r)) for r in text], plain)
         first: dict[str, int] = {}
-        made, state = [], self._state(table_name, schema)
+        made, state, staged, counts = [], self._state(table_name, schema), None, None
+        if isinstance(data, DataFrame):  # written once: what is checked is what is inserted, and each row has a number
+            staged = f"{self._root(table_name, schema)}/staged-{uuid.uuid4().hex[:12]}"
+            df.withColumn("__row", F.monotonically_increasing_id()).write.parquet(staged)
+            df = self.spark.read.parquet(staged)
+            counts = df.groupBy(F.shiftright("__row", 33).alias("part")).count().orderBy("part").collect()  # one for each task that wrote
+            before, places = 0, []
+            for r in counts:
+                places.append((r["part"], before))
+                before += r["count"]
+            start = self.spark.createDataFrame(places, "__part long, __before long")
+            df = df.join(F.broadcast(start), F.shiftright("__row", 33) == F.col("__part"))
+            number = F.col("__before") + F.col("__row").bitwiseAND((1 << 33) - 1)
+        else:
+            df, number = df.coalesce(1), F.monotonically_increasing_id()
         for s in specs:
             if s.name in df.columns:
                 c = F.parse_json(F.col(s.name).cast("string")) if s.type == "VARIANT" and dict(df.dtypes)[s.name] != "variant" else F.col(s.name).cast(s.type.replace("VARCHAR", "STRING").split("(")[0] if "CHAR" in s.type else s.type)
             elif s.serial:
                 first[s.name] = state.get(s.name, 1)
-                c = (F.monotonically_increasing_id() + first[s.name]).cast(s.type)
+                c = (number + first[s.name]).cast(s.type)
             else:
                 c = F.expr(s.default).cast(s.type) if s.default else F.lit(None).cast(s.type)
             made.append(c.alias(s.name))
-        new = (df.coalesce(1) if not isinstance(data, DataFrame) else df).select(*made)
-        self._check(table_name, schema, new, specs)
-        new.write.insertInto(name)
+        new = df.select(*made)
+        try:
+            self._check(table_name, schema, new, specs)
+            n = sum(r["count"] for r in counts) if counts is not None else len(rows)
+            new.write.insertInto(name)
+        finally:
+            if staged:
+                fs, at = self._fs(staged)
+                fs.delete(at, True)
         for c, at in first.items():
-            state[c] = (self.spark.table(name).agg(F.max(c)).first()[0] or at - 1) + 1
+            state[c] = at + n
         if first:
             self._state(table_name, schema, state)
+        self._say("insert into %s: %d rows", table_name, n)
         return first.get("id") if return_id and single else None
 
     def _check(self, table: str, schema: str | None, new: DataFrame, specs: list[ColumnSpec], against: bool = True) -> None:
@@ -170,6 +241,7 @@ class Engine:
             new = relational.updated(old, {k: F.expr(v) if isinstance(v, str) else v for k, v in changes.items()}, cond)
             self._check(table_name, schema, new, [s for s in specs if s.name in changes], against=False)
             self._swap(table_name, schema, new)
+        self._say("update %s: %d rows", table_name, hit)
         return hit
 
     def delete(self, table_name: str, where: Mapping[str, Any], schema: str | None = None) -> int:
@@ -180,10 +252,37 @@ class Engine:
         hit = old.where(cond).count()
         if hit:
             self._swap(table_name, schema, relational.deleted(old, cond))
+        self._say("delete from %s: %d rows", table_name, hit)
         return hit
 
     def truncate(self, table_name: str, schema: str | None = None, cascade: bool = False) -> None:
-        self._swap(table_name, schema, self.table(table_name, schema).where("false"))
+        """Removes all rows. A table that others refer to (REFERENCES) is refused; with cascade, those lose theirs too."""
+        todo, done = [(schema or "public", table_name.lower())], []
+        while todo:
+            at = todo.pop()
+            done.append(at)
+            others = [x for x in self._referring(*at) if x not in done and x not in todo]
+            if others and not cascade:
+                raise ValueError(f"{table_name!r} is referred to by {others}")
+            todo += others
+        for space, name in done:
+            self._swap(name, space, self.table(name, space).where("false"))
+            self._say("truncate %s.%s", space, name)
+
+    def _referring(self, schema: str, table: str) -> list[tuple[str, str]]:
+        found = []
+        for other in self.list_schemas():
+            for t in self._tables(self._space(other)):
+                names = {s.references if "." in s.references else f"{other}.{s.references}" for s in self._specs(t, other) if s.references}
+                if f"{schema}.{table}" in names and (other, t) != (schema, table):
+                    found.append((other, t))
+        return found
+
+    def write_csv(self, df: DataFrame, path: str, header: bool = True) -> str:
+        """Writes a frame as CSV files into a folder, one for each of its partitions; nulls are empty, empty strings quoted."""
+        df.write.option("header", header).option("emptyValue", '""').option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").mode("overwrite").csv(path)
+        self._say("wrote CSV to %s", path)
+        return path
 
     # Versions
 
@@ -244,6 +343,13 @@ class Engine:
             self.spark.catalog.clearCache()
         for s in found:
             self.spark.sql(f"DROP SCHEMA {_q(s)} CASCADE")
+            self._forget(s)
+        self._say("drop database %s", db_name)
+
+    def _forget(self, space: str) -> None:
+        """Deletes the files of a schema's tables, which lie outside the catalog's own folders."""
+        fs, at = self._fs(f"{self.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/helioframe/{space}")
+        fs.delete(at, True)
 
     def list_databases(self) -> list[dict[str, str]]:
         sizes: dict[str, int] = {}
@@ -257,6 +363,8 @@ class Engine:
 
     def drop_schema(self, schema_name: str, cascade: bool = False) -> None:
         self.spark.sql(f"DROP SCHEMA {_q(self._space(schema_name))} {'CASCADE' if cascade else ''}")
+        self._forget(self._space(schema_name))
+        self._say("drop schema %s", schema_name)
 
     def list_schemas(self) -> list[str]:
         return [s.split("__", 1)[1] for s in self._spaces(self.database)]
@@ -276,14 +384,20 @@ class Engine:
         if not self.table_exists(table_name, schema):
             return
         if cascade:
-            space = self._space(schema)
-            for v in self.spark.sql(f"SHOW VIEWS IN {_q(space)}").collect():
-                text = {r["col_name"]: r["data_type"] for r in self.spark.sql(f"DESCRIBE TABLE EXTENDED {_q(space)}.{_q(v['viewName'])}").collect()}.get("View Text", "")
-                if table_name.lower() in text.lower():
-                    self.spark.sql(f"DROP VIEW IF EXISTS {_q(space)}.{_q(v['viewName'])}")
+            at = name.replace("`", "")
+            for space in self._spaces(self.database):
+                for v in self.spark.sql(f"SHOW VIEWS IN {_q(space)}").collect():
+                    if not v["isTemporary"] and at in self._read_by(f"{_q(space)}.{_q(v['viewName'])}"):
+                        self.spark.sql(f"DROP VIEW IF EXISTS {_q(space)}.{_q(v['viewName'])}")
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         fs, at = self._fs(self._root(table_name, schema))
         fs.delete(at, True)
+        self._say("drop table %s", table_name)
+
+    def _read_by(self, view: str) -> set[str]:
+        """The tables and views that a view reads, also in subqueries, as its resolved plan names them."""
+        plan = self.spark.table(view)._jdf.queryExecution().analyzed().toString()
+        return set(re.findall(r"SubqueryAlias spark_catalog\.(\S+)\s*$", plan, re.M))
 
     def _tables(self, space: str) -> list[str]:
         views = {r["viewName"] for r in self.spark.sql(f"SHOW VIEWS IN {_q(space)}").collect()}

@@ -80,6 +80,7 @@ class ColumnSpec:
     unique: bool = False
     serial: bool = False
     default: str | None = None
+    references: str | None = None
 
 
 _NAME = re.compile(r"\s*(double precision|timestamp with(?:out)? time zone|\w+)\s*(\(\s*\d+\s*(?:,\s*\d+\s*)?\))?\s*(\[\s*\])?", re.I)
@@ -101,7 +102,8 @@ def column_spec(name: str, definition: str) -> ColumnSpec:
     value = default[1] if default else None
     if value and re.fullmatch(r"now\s*\(\s*\)|current_timestamp(\(\))?", value, re.I):
         value = "localtimestamp()" if stored == "TIMESTAMP_NTZ" else "current_timestamp()"
-    return ColumnSpec(name, f"ARRAY<{stored}>" if m[3] else stored, key or serial or bool(re.search(r"\bNOT\s+NULL\b", rest, re.I)), key or bool(re.search(r"\bUNIQUE\b", rest, re.I)), serial, value)
+    other = re.search(r"\bREFERENCES\s+([\w.]+)", rest, re.I)
+    return ColumnSpec(name, f"ARRAY<{stored}>" if m[3] else stored, key or serial or bool(re.search(r"\bNOT\s+NULL\b", rest, re.I)), key or bool(re.search(r"\bUNIQUE\b", rest, re.I)), serial, value, other[1].lower() if other else None)
 
 
 def pretty_size(n: int) -> str:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helioframe import changes, texts
 from helioframe.functions import images as I
 from helioframe.functions.instruments import BANDS, aia_intscale, hmi_intscale
 from helioframe.operators import relational as R
@@ -204,15 +206,16 @@ def q28_insert_union(spark, sf):
 
 @query("SELECT 3::BIGINT AS inserted, 1::BIGINT AS flares, 1::BIGINT AS updated, 9.0::DOUBLE AS intensity, 1::BIGINT AS deleted, 2::BIGINT AS remaining")
 def q29_demo_flow(spark, sf):
-    """The row changes of a small table, as post-images, with the counts that each step gives."""
-    rows = [(1, "solar_flare", 8.5), (2, "CME", 7.2), (3, "solar_wind", 5.8)]
-    base = spark.createDataFrame(rows, "id int, event_type string, intensity double")
-    flare, wind = R.equalities({"event_type": "solar_flare"}), R.equalities({"event_type": "solar_wind"})
-    new = R.updated(base, {"intensity": F.lit(9.0)}, flare)
-    left = R.deleted(new, wind)
-    before = base.agg(F.count("*").alias("inserted"), F.count_if(flare).alias("flares"), F.count_if(flare).alias("updated"), F.count_if(wind).alias("deleted"))
-    after = left.agg(F.max(F.when(flare, F.col("intensity"))).alias("intensity"), F.count("*").alias("remaining"))
-    return before.join(after).select("inserted", "flares", "updated", "intensity", "deleted", "remaining")
+    """Rows of a small table inserted, counted, changed and removed, with the counts that each step gives."""
+    e = changes.engine(spark)
+    e.create_table("solar_events", {"id": "SERIAL PRIMARY KEY", "event_type": "VARCHAR(50) NOT NULL", "start_time": "TIMESTAMP NOT NULL", "intensity": "FLOAT", "created_at": "TIMESTAMP DEFAULT NOW()"})
+    e.insert("solar_events", {"event_type": "solar_flare", "start_time": "2025-01-15 10:30:00", "intensity": 8.5})
+    e.insert("solar_events", [{"event_type": "CME", "start_time": "2025-01-16 14:20:00", "intensity": 7.2}, {"event_type": "solar_wind", "start_time": "2025-01-17 08:15:00", "intensity": 5.8}])
+    inserted, flares = e.count("solar_events"), e.count("solar_events", {"event_type": "solar_flare"})
+    updated = e.update("solar_events", {"intensity": 9.0}, {"event_type": "solar_flare"})
+    intensity = e.select("solar_events", ["intensity"], {"event_type": "solar_flare"}).first()[0]
+    deleted = e.delete("solar_events", {"event_type": "solar_wind"})
+    return spark.createDataFrame([(inserted, flares, updated, intensity, deleted, e.count("solar_events"))], "inserted long, flares long, updated long, intensity double, deleted long, remaining long")
 
 
 # Images
@@ -396,13 +399,52 @@ def q50_percentile_stretch(spark, sf):
     return q.select(F.round(F.col("q")[0], 6).alias("p01"), F.round(F.col("q")[1], 6).alias("p99"))
 
 
-@query(None)
+def _spline_rows(at: list[float], order: int) -> list[list[float]]:
+    """What each of 8 values in a row counts at a place: basis functions there, times the inverse of those at the values,
+    both mirrored about the ends."""
+
+    def basis(d: float) -> float:
+        d = abs(d)
+        if order == 3:
+            return 2 / 3 - d * d + d**3 / 2 if d < 1 else max(0.0, 2 - d) ** 3 / 6
+        return 0.75 - d * d if d <= 0.5 else max(0.0, 1.5 - d) ** 2 / 2
+
+    def around(x: float) -> list[float]:
+        out = [0.0] * S
+        for k in range(-4, S + 4):
+            m = abs(k) % (2 * S - 2)
+            out[m if m < S else 2 * S - 2 - m] += basis(x - k)
+        return out
+
+    inverse = np.linalg.inv(np.array([around(float(i)) for i in range(S)]))
+    return (np.array([around(x) for x in at]) @ inverse).tolist()
+
+
+def _spline_sql(places: list[tuple[float, float]], order: int, cval: float = 0.0) -> str:
+    """Spline samples at places (y, x) as sums over the 64 values of an image."""
+    inside = [0 <= y <= S - 1 and 0 <= x <= S - 1 for y, x in places]
+    ys, xs = (_spline_rows([p[k] if ok else 0.0 for p, ok in zip(places, inside)], order) for k in (0, 1))
+    values = ", ".join(f"({j}, {str(ok).upper()}, [{', '.join(map(repr, ys[j]))}], [{', '.join(map(repr, xs[j]))}])" for j, ok in enumerate(inside))
+    return f"WITH {_PIX}, p(j, inside, wy, wx) AS (VALUES {values}) SELECT vec_id, CAST(j AS INTEGER) AS i, round(CASE WHEN any_value(inside) THEN sum(x * wy[i // 8 + 1]::DOUBLE * wx[i % 8 + 1]::DOUBLE) ELSE {cval}::DOUBLE END, 6) + 0.0::DOUBLE AS v FROM px CROSS JOIN p GROUP BY vec_id, j"
+
+
+@query(_spline_sql([(y * 7 / 11, x * 7 / 11) for y in range(12) for x in range(12)], 3))
 def q51_resize_bicubic(spark, sf):
     made = _images(spark, sf).withColumn("made", I.resize_image(F.col("img"), (12, 12), order=3))
-    return _long(made, F.col("made"), digits=6)
+    return _long(made, F.col("made"), digits=6).withColumn("v", F.col("v") + 0.0)  # no zero has a sign
+
+
+def _turned_places(angle: float) -> list[tuple[float, float]]:
+    (c, s), (oy, ox), h, w = I.rotation(angle, S, S, False)
+    return [(y * c + x * s + oy, y * -s + x * c + ox) for y in range(h) for x in range(w)]
 
 
-@query(None)
+@query(_spline_sql(_turned_places(15), 2))
 def q52_rotate_15_quadratic(spark, sf):
     made = _images(spark, sf).withColumn("made", I.rotate_image(F.col("img"), 15, (S, S), order=2))
-    return _long(made, F.col("made"), digits=6)
+    return _long(made, F.col("made"), digits=6).withColumn("v", F.col("v") + 0.0)
+
+
+for module in (changes, texts):  # tables with changes, and statements as text
+    QUERIES.update(module.QUERIES)
+    ORACLE_SQL.update(module.ORACLE_SQL)

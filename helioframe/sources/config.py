@@ -56,7 +56,7 @@ def from_dict(config_dict: dict[str, Any]) -> dict[str, Any]:
 
 def create_example_config(output_path: str = "config.example.yaml") -> str:
     """Writes an example; without a YAML library as JSON, with that suffix. The path written."""
-    example = {"database": {"host": "localhost", "port": 5432, "database": "your_database_name", "user": "your_username", "password": "your_password", "log_queries": True}}
+    example = {"database": {"host": "localhost", "port": 5432, "database": "observations", "user": "reader", "password": "change-me", "log_queries": True}}
     try:
         import yaml
 

@@ -13,10 +13,29 @@ SKIPPED = ("parent", "..", "index", "readme")
 _ANCHOR = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
+#: Named characters that occur in addresses, the ampersand last. Fixed values.
+ENTITIES = {"&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
+def unescaped(text: Column) -> Column:
+    """Text with numbered characters (&#38; and &#x26;) and those named in ENTITIES for themselves."""
+
+    def numbered(x: Column, mark: str, code) -> Column:
+        letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(code(n)), 8, "0")), "UTF-32")
+        letters = F.transform(F.regexp_extract_all(x, F.lit(mark), F.lit(1)), letter)
+        return F.array_join(F.zip_with(F.split(x, mark), letters, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    out = numbered(text, r"&#0*([0-9]{1,6});?", lambda n: n.cast("int"))
+    out = numbered(out, r"&#[xX]0*([0-9A-Fa-f]{1,5});?", lambda n: F.conv(n, 16, 10).cast("int"))
+    for name, value in ENTITIES.items():
+        out = F.replace(out, F.lit(name), F.lit(value))
+    return F.when(text.contains("&"), out).otherwise(text)
+
+
 def hrefs(html: Column) -> Column:
     """The targets of a page's links, in order, with duplicates."""
     found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(_ANCHOR), F.lit(1))
-    return F.transform(found, lambda x: F.regexp_replace(x, r"""^["']|["']$""", ""))
+    return F.transform(found, lambda x: unescaped(F.regexp_replace(x, r"""^["']|["']$""", "")))
 
 
 def links(pages: DataFrame, html: str = "html", keys: Sequence[str] = ("page_id",)) -> DataFrame:

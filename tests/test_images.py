@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helioframe.functions import images as I
 from helioframe.functions.instruments import BANDS, aia_intscale, hmi_intscale
-from helioframe.functions.splines import prefilter, sample
+from helioframe.functions.sampling import prefilter, resample_grid, sample
 
 
 def run(spark, array, kernel, dtype="float64"):
@@ -74,13 +74,39 @@ def test_rotate(spark):
     assert np.allclose(run(spark, a, lambda i: I.rotate_image(i, 360, (3, 4), order=3))[0], a)
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_splines_pass_through_their_samples(order):
-    a = np.random.default_rng(1).normal(size=(6, 7, 2))
+@pytest.mark.parametrize("order", [0, 1, 2, 3])
+def test_samples_at_pixels_are_the_pixels(order):
+    a = np.random.default_rng(1).normal(size=(3, 6, 7, 2))
     y, x = np.mgrid[0:6, 0:7].astype(float)
-    assert np.allclose(sample(a, y, x, order, 0.0), a)
-    ramp = np.arange(12.0)
-    assert prefilter(ramp, order).shape == (12,)
+    assert np.allclose(sample(a, y, x, order, 0.0), a) and np.allclose(resample_grid(a, np.arange(6.0), np.arange(7.0), order), a)
+    assert prefilter(np.arange(12.0), 3).shape == (12,)
+
+
+@pytest.mark.parametrize("order", [0, 1, 2, 3])
+def test_grid_and_places_agree(order, monkeypatch):
+    """Both ways to sample, also in bands of a few rows, and bilinear values by the plain formula."""
+    from helioframe.functions import sampling
+
+    a = np.random.default_rng(3).normal(size=(2, 5, 9, 1))
+    rows, cols = np.linspace(0, 4, 11), np.linspace(0, 8, 6)
+    y, x = np.broadcast_arrays(rows[:, None], cols[None, :])
+    whole = sample(a, y, x, order, 0.0)
+    monkeypatch.setattr(sampling, "CELLS", 20)
+    assert np.allclose(whole, sample(a, y, x, order, 0.0)) and np.allclose(whole, resample_grid(a, rows, cols, order))
+    if order == 1:
+        p = a[0, :, :, 0]
+        f = lambda v, u: p[int(v), int(u)]
+        want = f(1, 3) * 0.5 * 0.75 + f(1, 4) * 0.5 * 0.25 + f(2, 3) * 0.5 * 0.75 + f(2, 4) * 0.5 * 0.25
+        assert np.isclose(sample(a[:1], np.array([[1.5]]), np.array([[3.25]]), 1, 0.0)[0, 0, 0, 0], want)
+    assert (sample(a, y - 10, x, order, 7.0) == 7.0).all()
+
+
+def test_large_image(spark):
+    """A large image goes through in one row."""
+    side = 2048
+    df = spark.range(1).select(I.image(F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: (i % side).cast("double")), side, side).alias("img"))
+    r = df.select(I.resize_image(F.col("img"), (1024, 1024)).alias("o")).select(F.size("o.data").alias("n"), F.col("o.data")[1023].alias("corner")).first()
+    assert r["n"] == 1 << 20 and abs(r["corner"] - 2047) < 1e-9
 
 
 def test_splines_match_the_library_in_spark(spark):
