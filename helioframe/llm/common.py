@@ -104,15 +104,20 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def where_late(df: DataFrame, condition: Column) -> DataFrame:
-    """df.where(condition), evaluated after df's own columns.
+def settled(df: DataFrame) -> DataFrame:
+    """df, with conditions on its columns evaluated after them, whoever states them.
 
     Pushed below a projection, a condition on a computed array has the array's expression in place of its name, also
-    inside lambdas, where it would be computed again for every element. A row number that the condition looks at keeps
-    it above.
+    inside lambdas, where it would be computed again for every element. A condition on a row number stays above it, and
+    takes later ones along.
     """
     (late,) = unused(df.columns, "__late")
-    return df.withColumn(late, F.monotonically_increasing_id()).where(condition & (F.col(late) >= 0)).drop(late)
+    return df.withColumn(late, F.monotonically_increasing_id()).where(F.col(late) >= 0).drop(late)
+
+
+def where_late(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition), evaluated after df's own columns."""
+    return settled(df).where(condition)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helioframe.llm.common import apart, drop, stage, where_late, words
+from helioframe.llm.common import apart, drop, settled, stage, words
 
 BUCKETS = 8192
 #: Up to so many trusted ids (16 bytes each) are broadcast; beyond, they are joined.
@@ -94,7 +94,7 @@ def measure(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD)
     covered = F.aggregate(F.transform(at, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
     out = out.withColumn(P + "n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop(P + "at")
     failed = (_n("n_words") < 50) | (100 * _n("n_repeat_words") > 50 * _n("n_words"))
-    return out.withColumn(P + "base_failed", failed).withColumn(P + "kept", ~_n("base_failed") & (_n("score") >= threshold))
+    return settled(out.withColumn(P + "base_failed", failed).withColumn(P + "kept", ~_n("base_failed") & (_n("score") >= threshold)))
 
 
 def trusted_of(labels: DataFrame) -> DataFrame:
@@ -112,4 +112,4 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with their columns. Repeated rows are judged alike; null texts go."""
     own, back = apart(docs, P)
-    return back(where_late(measure(own, fit(docs, trusted_of(labels))), _n("kept")))
+    return back(measure(own, fit(docs, trusted_of(labels))).where(_n("kept")))

@@ -22,6 +22,7 @@ import hashlib
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from helioframe.llm.common import ship, stage
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # anchors that a window chooses from
 #: Text bytes of a chunk, entries of a hash bucket and of a range aimed at, bytes hashed at a time.
-CHUNK, BUCKET, RANGE, PIECE = 8 << 20, 1 << 18, 200_000, 1 << 20
+CHUNK, BUCKET, RANGE, PIECE = 8 << 20, 1 << 18, 100_000, 1 << 20
 #: An anchor with more block kinds than MANY in one chunk, or CROWD entries in all, sends single windows.
 MANY, CROWD = 8, 5000
 #: A string begins with four bytes that say where it lies in the order, and one that says what it is.
@@ -202,15 +203,16 @@ def _answer(table: pa.Table, crowd: int = CROWD) -> pa.Table:
 def _front_code(rows: list[tuple[bytes, int, int, int]]) -> bytes:
     """A sorted run of (string, bytes of it that stand before the anchor, document, place): lengths shared with the string
     before, lengths of the rest, the numbers, and the rests."""
-    shared, rest, tails, before = bytearray(), bytearray(), [], b""
-    for s, _, _, _ in rows:
-        n = _common(before, s, 0)
-        shared.append(n)
-        rest.append(len(s) - n)
-        tails.append(s[n:])
-        before = s
+    strings = [x[0] for x in rows]
+    size = np.fromiter(map(len, strings), np.int64, len(rows))
+    width = int(size.max())
+    flat = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in strings]), np.uint8).reshape(-1, width)
+    other = flat[1:] != flat[:-1]
+    first = np.where(other.any(axis=1), other.argmax(axis=1), width)
+    shared = np.r_[0, np.minimum(first, np.minimum(size[1:], size[:-1]))]
+    tails = [x[n:] for x, n in zip(strings, shared.tolist())]
     left, docs, places = bytes(x[1] for x in rows), np.array([x[2] for x in rows], "<i8"), np.array([x[3] for x in rows], "<i4")
-    return b"".join((len(rows).to_bytes(4, "little"), bytes(shared), bytes(rest), left, docs.tobytes(), places.tobytes(), *tails))
+    return b"".join((len(rows).to_bytes(4, "little"), shared.astype(np.uint8).tobytes(), (size - shared).astype(np.uint8).tobytes(), left, docs.tobytes(), places.tobytes(), *tails))
 
 
 def _common(a: bytes, b: bytes, known: int) -> int:
@@ -398,19 +400,17 @@ def _decide(group: list[tuple[bytes, int, int, int, int]], gone: list[list[tuple
                 leaders.append(x)
     if len(classes) == 1:
         return
+    # By ascending document, the first one that puts a window in is the least that has it.
     windows: dict[bytes, int] = {}
-    blocks = []
-    for string, before, d, r, p in leaders:
+    for string, before, d, r, p in sorted(leaders, key=lambda x: x[2]):
         block = string[len(string) - before :] + string[HEAD : len(string) - before]
         own = [block[i : i + LENGTH] for i in range(len(block) - LENGTH + 1)]
-        blocks.append((own, d, r, p))
-        for w in own:
-            if windows.get(w, d) >= d:
-                windows[w] = d
-    for own, d, r, p in blocks:
+        holder = list(map(windows.setdefault, own, repeat(d)))
+        if min(holder) == d:
+            continue
         start = -1
-        for i, w in enumerate(own):
-            if windows[w] < d:
+        for i, h in enumerate(holder):
+            if h < d:
                 start = i if start < 0 else start
             elif start >= 0:
                 gone[r].append((p + start, i - 1 - start + LENGTH))
@@ -419,6 +419,21 @@ def _decide(group: list[tuple[bytes, int, int, int, int]], gone: list[list[tuple
             gone[r].append((p + start, len(own) - 1 - start + LENGTH))
 
 
+def _merges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges range after range of a task, whose rows come in order of ranges."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        of = batch.column("range").to_numpy()
+        cut = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        for low, high in zip(cut[:-1], cut[1:]):
+            if held and held[0].column("range")[0].as_py() != of[low]:
+                yield from _merge(pa.Table.from_batches(held)).to_batches()
+                held = []
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield from _merge(pa.Table.from_batches(held)).to_batches()
+
+
 def _merge(table: pa.Table) -> pa.Table:
     """One range: the places that an earlier document has, by chunk. A group of a chunk's own places is handed on."""
     chunks = table.column("chunk").to_pylist()
@@ -467,6 +482,17 @@ def _finish(with_text: bool):
     return run
 
 
+def _even_keys(spark, tasks: int) -> list[int]:
+    """A key for each task that a shuffle of so many partitions deals to it alone."""
+    found: dict[int, int] = {}
+    at = 0
+    while len(found) < tasks:
+        more = spark.range(at, at + 16 * tasks).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(tasks)).alias("to")).groupBy("to").agg(F.min("id").alias("id")).collect()
+        found = {r["to"]: r["id"] for r in more} | found
+        at += 16 * tasks
+    return [found[i] for i in range(tasks)]
+
+
 def dedup(docs: DataFrame, with_text: bool = True, chunk: int = CHUNK, many: int = MANY, crowd: int = CROWD, per_range: int = RANGE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text kept) of every row of docs (doc_id, text).
 
@@ -488,7 +514,11 @@ def dedup(docs: DataFrame, with_text: bool = True, chunk: int = CHUNK, many: int
     ranges = max(1, round(weight / per_range))
     told = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("answers"))  # one chunk's
     runs = texts.join(told, "chunk", "left").select(*texts.columns, "answers").mapInArrow(_suffixes(bits, ranges, many), "range long, chunk long, data binary")
-    merged = stage(runs.groupBy("range").applyInArrow(_merge, "chunk long, spans binary"), "merged", [answers])
+    tasks = min(ranges, max(int(spark.conf.get("spark.sql.shuffle.partitions")), ranges // 8))
+    key = _even_keys(spark, tasks)
+    dealt = runs.withColumn("key", F.element_at(F.from_json(F.lit(str(key)), "array<int>"), (F.pmod("range", F.lit(tasks)) + 1).cast("int")))
+    dealt = dealt.repartition(tasks, "key").sortWithinPartitions("range").select("range", "chunk", "data")
+    merged = stage(dealt.mapInArrow(_merges, "chunk long, spans binary"), "merged", [answers])
     spans = merged.groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     done = chunks.join(spans, "chunk", "left").select("ids", "ends", "text", "spans").mapInArrow(_finish(with_text), schema)

@@ -255,7 +255,7 @@ def test_tokens_shards(spark, monkeypatch, docs):
     def small(folder, path, end):  # the limit is read where the tasks run
         def run(batches):
             tokens.SHARD_IDS = 200
-            yield from writer(folder, path, end)(batches)
+            yield from tokens._writer(folder, path, end)(batches)  # there it is the writer itself
 
         return run
 
