@@ -7,7 +7,7 @@ never compared again. Equal neighbours are one string, and its least document ke
 
 Only suffixes that can have an equal in another document are sent. Every LENGTH-byte window selects the GRAM-byte
 piece of least hash in it, its anchor; equal windows select the same one. Neighbouring windows with one anchor form a
-block. A first exchange of anchor and block hashes tells each block whether its anchor occurs in several documents;
+block. A first exchange of anchor hashes tells each block whether its anchor occurs in several documents;
 else none of its windows can. A block is sent as the suffix that starts at its anchor, followed by what stands before
 the anchor. The order is by four bytes hashed from the anchor, then by the string: so all ranges are alike long, however
 many there are, and no splitters are needed. In the merged order the blocks of an anchor are neighbours that share GRAM
@@ -41,6 +41,8 @@ CHUNK, BUCKET, RANGE, PIECE = 8 << 20, 1 << 18, 100_000, 1 << 20
 MANY, CROWD = 8, 5000
 #: A string begins with four bytes that say where it lies in the order, and one that says what it is.
 _ANCHORED, _SINGLE, HEAD = b"\0", b"\1", 5
+#: Bits of a block's hash that tell blocks of one anchor apart; those that still share a class are told apart by bytes.
+BLOCK_BITS = 12
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _POWER = np.cumprod(np.full(PIECE + (1 << 17), 0xF58B6A3D1C9E4B27, np.uint64))
 _INVERSE = np.cumprod(np.full(PIECE + (1 << 17), pow(0xF58B6A3D1C9E4B27, -1, 1 << 64), np.uint64))
@@ -55,6 +57,8 @@ def _chunks(size: int):
         ids, texts, held = [], [], 0
 
         def row():
+            by = sorted(range(len(ids)), key=ids.__getitem__)  # so that places are in order of documents
+            ids[:], texts[:] = [ids[i] for i in by], [texts[i] for i in by]
             ends, whole = np.cumsum([len(t) for t in texts]).astype("<i8"), b"".join(texts)
             cells = [pa.array([x], pa.binary()) for x in (np.array(ids, "<i8").tobytes(), ends.tobytes(), pack.compress(whole))]
             return pa.RecordBatch.from_arrays([pa.array([(part << 24) + k]), *cells], names=["chunk", "ids", "ends", "text"])
@@ -101,7 +105,8 @@ def _blocks(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         m = np.minimum(m[:n], m[SPAN - size : SPAN - size + n])
         anchor = (m & np.uint64((1 << 24) - 1)).astype(np.int64)
         place = np.arange(at, at + n)
-        doc = np.searchsorted(ends, place, "right")
+        reach = np.searchsorted(ends, [at, at + n - 1], "right")
+        doc = np.repeat(np.arange(reach[0], reach[1] + 1), np.diff(np.r_[at, np.minimum(ends[reach[0] : reach[1]], at + n), at + n]))
         ok = place + LENGTH <= ends[np.minimum(doc, len(ends) - 1)]
         turn = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
         stop = np.r_[turn[1:], n]
@@ -126,14 +131,15 @@ class _Chunk:
         self.text = zstandard.ZstdDecompressor().decompress(text) if len(text) else b""
         anchor, block, self.first, self.last, self.at = _blocks(np.frombuffer(self.text, np.uint8), self.ends)
         self.doc = self.ids[np.searchsorted(self.ends, self.first, "right")] if len(self.first) else self.first
-        anchor, block = anchor >> np.uint64(64 - bits), block & np.uint64((1 << 40) - 1)
-        self.order = np.lexsort((self.first, self.doc, block, anchor))
-        a, b, d = anchor[self.order], block[self.order], self.doc[self.order]
+        anchor = anchor >> np.uint64(64 - bits)
+        key = anchor << np.uint64(BLOCK_BITS) | block & np.uint64((1 << BLOCK_BITS) - 1)
+        self.order = np.argsort(key, kind="stable")  # places are in order of documents
+        a, b, d = anchor[self.order], key[self.order], self.doc[self.order]
         new_anchor = np.r_[True, a[1:] != a[:-1]] if len(a) else np.empty(0, bool)
-        new = new_anchor | np.r_[True, b[1:] != b[:-1]] if len(a) else new_anchor
+        new = np.r_[True, b[1:] != b[:-1]] if len(a) else new_anchor
         self.head = np.flatnonzero(new)  # of each class: its least document's first block
         self.size = np.diff(np.r_[self.head, len(a)])
-        self.anchor, self.block, self.least = a[self.head], b[self.head], d[self.head]
+        self.anchor, self.least = a[self.head], d[self.head]
         tail = self.head + self.size - 1
         self.several = d[tail] != self.least if len(a) else np.empty(0, bool)
         kinds = np.diff(np.r_[np.flatnonzero(new_anchor[self.head]), len(self.head)]) if len(a) else np.empty(0, np.int64)
@@ -163,7 +169,7 @@ def _hashes(bits: int, buckets: int, many: int):
                     s = c.sent[at[k] : at[k + 1]]
                     if len(s):
                         flags = c.several[s] | c.hot[s] << 1
-                        data = _planes(np.diff(c.anchor[s], prepend=np.uint64(0))) + _planes(c.block[s]) + _planes((c.least[s].view(np.uint64) << np.uint64(1)) ^ (c.least[s] >> 63).view(np.uint64)) + flags.astype(np.uint8).tobytes()
+                        data = _planes(np.diff(c.anchor[s], prepend=np.uint64(0))) + _planes((c.least[s].view(np.uint64) << np.uint64(1)) ^ (c.least[s] >> 63).view(np.uint64)) + flags.astype(np.uint8).tobytes()
                         rows["bucket"].append(k)
                         rows["chunk"].append(chunk)
                         rows["data"].append(pack.compress(data))
@@ -176,15 +182,14 @@ def _answer(table: pa.Table, crowd: int = CROWD) -> pa.Table:
     """For one bucket: of each chunk's entries, bit planes of "anchor in several documents" and "a crowded anchor"."""
     open_ = zstandard.ZstdDecompressor()
     chunks, blobs = table.column("chunk").to_pylist(), [open_.decompress(x) for x in table.column("data").to_pylist()]
-    sizes = np.array([len(b) // 25 for b in blobs])
+    sizes = np.array([len(b) // 17 for b in blobs])
     a = np.concatenate([np.cumsum(_unplanes(b[: n * 8])) for b, n in zip(blobs, sizes)])
-    h = np.concatenate([_unplanes(b[n * 8 : n * 16]) for b, n in zip(blobs, sizes)])
-    z = np.concatenate([_unplanes(b[n * 16 : n * 24]) for b, n in zip(blobs, sizes)])
-    flags = np.concatenate([np.frombuffer(b, np.uint8, n, n * 24) for b, n in zip(blobs, sizes)])
+    z = np.concatenate([_unplanes(b[n * 8 : n * 16]) for b, n in zip(blobs, sizes)])
+    flags = np.concatenate([np.frombuffer(b, np.uint8, n, n * 16) for b, n in zip(blobs, sizes)])
     del blobs
     d = (z >> np.uint64(1)).view(np.int64) ^ -(z & np.uint64(1)).view(np.int64)
-    order = np.lexsort((d, h, a))
-    a, h, d, f = a[order], h[order], d[order], flags[order]
+    order = np.argsort(a)
+    a, d, f = a[order], d[order], flags[order]
     new = np.r_[True, a[1:] != a[:-1]]
     group = np.cumsum(new) - 1
     at = np.flatnonzero(new)
@@ -443,16 +448,28 @@ def _merge(table: pa.Table) -> pa.Table:
     runs = [_Run(open_.decompress(x)) for x in table.column("data").to_pylist()]
     gone: list[list[tuple[int, int]]] = [[] for _ in runs]
     group: list[tuple[bytes, int, int, int, int]] = []
+    alike = True  # all strings of the group are one
+
+    def decide() -> None:
+        if len(group) > 1:
+            if not alike:
+                _decide(group, gone)
+            elif (least := min([x[2] for x in group])) < max([x[2] for x in group]):
+                n = len(group[0][0]) - HEAD
+                for _, _, d, r, p in group:
+                    if d > least:
+                        gone[r].append((p, n))
+
     for r, shared in merge(runs):
         run, string = runs[r], runs[r].string
-        together = shared >= HEAD + GRAM if string[4:HEAD] == _ANCHORED else shared == len(string)
-        if not together:
-            if len(group) > 1:
-                _decide(group, gone)
-            group = []
-        group.append((string, run.left[run.at], run.docs[run.at], r, run.places[run.at]))
-    if len(group) > 1:
-        _decide(group, gone)
+        left, equal = run.left[run.at], shared == len(string)
+        if not (shared >= HEAD + GRAM if string[4] == 0 else equal):
+            decide()
+            group, alike = [], True
+        elif alike and not (equal and len(group[-1][0]) == shared and group[-1][1] == left):
+            alike = False
+        group.append((string, left, run.docs[run.at], r, run.places[run.at]))
+    decide()
     have = [i for i, g in enumerate(gone) if g]
     return pa.table({"chunk": pa.array([chunks[i] for i in have], pa.int64()), "spans": pa.array([_spans(gone[i]) for i in have], pa.binary())})
 
@@ -505,7 +522,7 @@ def dedup(docs: DataFrame, with_text: bool = True, chunk: int = CHUNK, many: int
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     chunks = stage(rows.where("doc_id is not null").mapInArrow(_chunks(chunk), _CHUNK), "chunks")
     total = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(64, 20 + max(1, math.ceil(math.log2(3 * total + 2))))
+    bits = min(64 - BLOCK_BITS, 20 + max(1, math.ceil(math.log2(3 * total + 2))))
     buckets = max(1, round(3 * total / 18 / BUCKET))
     texts = chunks.select("chunk", "ids", "ends", "text")
     sent = texts.mapInArrow(_hashes(bits, buckets, many), "bucket int, chunk long, data binary")
