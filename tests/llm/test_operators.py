@@ -800,7 +800,7 @@ def test_pipeline_stages_odd_rows(spark):
     """Empty tables, and rows with nulls, repeats and clashing names, go through every stage."""
     import corpus_pipeline
 
-    text = " ".join(f"word{i} of a text" for i in range(40))
+    text = " ".join(f"word{i} x{i} y{i}" for i in range(40))
     rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, None, None, None), (None, text, "en", "s", 1), (3, None, None, None, None), (None, None, None, None, None), (4, "", "en", "t", 0)]
     wide = spark.createDataFrame([(*r, *"abcdefg") for r in rows], SCHEMA + ", __late string, __rules_h string, __mix_size string, __id string, __hash string, fp string, item_id string")
     for table in (wide, wide.where("false")):
