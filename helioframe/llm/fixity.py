@@ -1,7 +1,7 @@
 """Merkle fixity audit of WARC replicas: record digests and ordered offset ranges hashed into trees.
 
-An archive is a folder of record files with an index of where each record lies. The records of a file are read by
-offset and hashed into a tree: a leaf holds the records of one place, FANOUT neighbours make a parent, up to one root
+An archive is a folder of record files (each record one gzip member, as is customary for WARC) with an index of where
+each record lies. The members of a file are read by offset and hashed as they are stored into a tree: a leaf holds the records of one place, FANOUT neighbours make a parent, up to one root
 for each file; the files are leaves of a tree over the archive in the same way, SPREAD at a time. A leaf hashes, in
 order, each record's digest, length and gap (the bytes between the end of the record before it and its start); a parent
 hashes each child's number, its range relative to the parent's first byte, and its hash. So records that change, go,
@@ -12,6 +12,7 @@ looked at.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -33,7 +34,8 @@ _NODE = "level int, file long, node long, page_id long, first long, last long, g
 
 
 class Archive(NamedTuple):
-    """A folder of record files, and (file, name, slot, page_id, offset, length) of every record."""
+    """A folder of record files, and (file, name, slot, page_id, offset, length, at, size) of every record: its place as
+    it is stored, and in the file without compression."""
 
     folder: str
     index: DataFrame
@@ -71,25 +73,33 @@ def _batched(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-_INDEXED = pa.schema([("file", pa.int64()), ("name", pa.string()), ("slot", pa.int32()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())])
-_INDEX = "file long, name string, slot int, page_id long, offset long, length long"
+_INDEXED = pa.schema([("file", pa.int64()), ("name", pa.string()), ("slot", pa.int32()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("at", pa.int64()), ("size", pa.int64())])
+_INDEX = "file long, name string, slot int, page_id long, offset long, length long, at long, size long"
 
 
-def _put(folder: str, rows: Iterable[tuple[int, int, int | None, bytes]]) -> Iterator[tuple]:
-    """Writes (file, slot, page_id, record), in order of files, to one file each; the index. A file's name is that of its
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records (the last column) as gzip members, the same in every writing, with the length that they had."""
+    for batch in batches:
+        records = batch.column(batch.num_columns - 1)
+        made = [gzip.compress(r.as_py(), 6, mtime=0) for r in records]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary()), pa.array([len(r.as_py()) for r in records], pa.int64())], names=[*batch.schema.names, "size"])
+
+
+def _put(folder: str, rows: Iterable[tuple[int, int, int | None, bytes, int]]) -> Iterator[tuple]:
+    """Writes (file, slot, page_id, member, size), in order of files, to one file each; the index. A file's name is that of its
     try, so that a task that is run again meets no file of the try before; only files in the index count."""
     fs, root = _root(folder)
     fs.create_dir(root, recursive=True)
-    out, now, name, at = None, None, "", 0
-    for file, slot, page, record in rows:
+    out, now, name, offset, at = None, None, "", 0, 0
+    for file, slot, page, member, size in rows:
         if file != now:
             if out is not None:
                 out.close()
-            now, name, at = file, f"{file:+d}-{TaskContext.get().taskAttemptId()}.warc", 0
-            out = fs.open_output_stream(f"{root}/{name}")
-        out.write(record)
-        yield file, name, slot, page, at, len(record)
-        at += len(record)
+            now, name, offset, at = file, f"{file:+d}-{TaskContext.get().taskAttemptId()}.warc.gz", 0, 0
+            out = fs.open_output_stream(f"{root}/{name}", compression=None)  # the members are packed already
+        out.write(member)
+        yield file, name, slot, page, offset, len(member), at, size
+        offset, at = offset + len(member), at + size
     if out is not None:
         out.close()
 
@@ -117,6 +127,7 @@ def write(pages: DataFrame, folder: str | None = None) -> Archive:
     volume = -1 - F.pmod(F.xxhash64("page_id", F.pmod(spread, F.ceil(F.col("many") / MANY))), F.lit(1 << 40))
     file = F.when(apart, volume).otherwise(F.floor(F.col("page_id") / FILE_SPAN)).alias("file")
     rows = rows.select(file, F.pmod(F.when(apart, spread).otherwise(F.col("page_id")), F.lit(FILE_SPAN)).cast("int").alias("slot"), "page_id", "record")
+    rows = rows.mapInArrow(_packed, "file long, slot int, page_id long, record binary, size long")
     dealt = rows.repartition(_tasks(spark, total or 0), "file").sortWithinPartitions("file", "slot", "page_id", F.sha2("record", 256))
     index = dealt.mapInArrow(lambda batches: _batched(_put(folder, _rows(batches)), _INDEXED), _INDEX)
     return Archive(folder, stage(index, "index"))
@@ -130,13 +141,13 @@ def _dealt(archive: Archive) -> DataFrame:
 
 
 def read(archive: Archive) -> Iterator:
-    """What reads the records of index rows (file, name, slot, page_id, offset, length): (file, slot, page_id, offset, record)."""
+    """What reads the members of index rows: (file, slot, page_id, offset, member)."""
     folder = archive.folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         fs, root = _root(folder)
         now, held = None, None
-        for file, name, slot, page, offset, length in _rows(batches):
+        for file, name, slot, page, offset, length, *_ in _rows(batches):
             if name != now:
                 if held is not None:
                     held.close()
@@ -277,7 +288,8 @@ def damaged(archive: Archive, folder: str | None = None) -> Archive:
     folder, get = folder or new_folder(spark, "replica"), read(archive)
 
     def faults(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for file, slot, page, _, record in get(batches):
+        for file, slot, page, _, member in get(batches):
+            record = gzip.decompress(member)
             sign = hashlib.md5(str("" if page is None else page).encode()).hexdigest()[:2]
             body = record.index(b"\r\n\r\n") + 4
             if sign == "00":
@@ -285,19 +297,21 @@ def damaged(archive: Archive, folder: str | None = None) -> Archive:
             elif sign == "01":
                 record = record[: len(record) // 2]
             if sign != "02":
-                yield file, slot, page, record
+                yield file, slot, page, gzip.compress(record, 6, mtime=0) if sign in ("00", "01") else member, len(record)
 
     index = _dealt(archive).mapInArrow(lambda batches: _batched(_put(folder, faults(batches)), _INDEXED), _INDEX)
     return Archive(folder, stage(index, "replica-index"))
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    """(page_id, state, offset, length) of the records that a damaged replica of the archive of pages does not share with it."""
+    """(page_id, state, offset, length) of the records that a damaged replica of the archive of pages does not share with
+    it; places are those in the uncompressed file."""
     ours = write(pages)
     theirs = damaged(ours)
     found = audit(ours, theirs)
-    drop(ours.index, theirs.index)
-    return found.select("page_id", "state", "offset", "length")
+    drop(theirs.index)
+    places = ours.index.select("file", "offset", "at", "size")
+    return found.join(places, ["file", "offset"]).select("page_id", "state", F.col("at").alias("offset"), F.col("size").alias("length"))
 
 
 ORACLE = r"""
