@@ -48,8 +48,8 @@ text("q86_grouping_sets", "orders", "SELECT o_orderstatus, o_orderpriority, coun
      "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus) AS TINYINT) AS all_status FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())")
 text("q87_cube", "events", "SELECT event_type, date_part('day', ts)::INT AS d, count(*) AS n FROM events WHERE ts < '2024-01-04'::TIMESTAMP GROUP BY CUBE (event_type, date_part('day', ts)::INT)",
      "SELECT event_type, d, count(*) AS n FROM (SELECT event_type, date_part('day', ts)::INT AS d FROM events WHERE ts < '2024-01-04'::TIMESTAMP) GROUP BY CUBE (event_type, d)")
-text("q88_filter_cast", "events", "SELECT event_type::STRING AS kind, count(*) FILTER (WHERE value > 50) AS n, avg(value::INT)::DECIMAL(20, 4) AS mean FROM events WHERE event_type ILIKE 'P%' OR event_type ILIKE '%CK' GROUP BY event_type",
-     "SELECT event_type AS kind, count(*) FILTER (WHERE value > 50) AS n, avg(trunc(value))::DECIMAL(20, 4) AS mean FROM events WHERE event_type ILIKE 'P%' OR event_type ILIKE '%CK' GROUP BY event_type")
+text("q88_filter_cast", "events", "SELECT event_type::STRING AS kind, count(*) FILTER (WHERE value > 50) AS n, sum(value::INT) AS total, max(value)::DECIMAL(20, 2) AS most FROM events WHERE event_type ILIKE 'P%' OR event_type ILIKE '%CK' GROUP BY event_type",
+     "SELECT event_type AS kind, count(*) FILTER (WHERE value > 50) AS n, CAST(sum(CAST(trunc(value) AS INTEGER)) AS BIGINT) AS total, CAST(max(value) AS DECIMAL(20, 2)) AS most FROM events WHERE event_type ILIKE 'P%' OR event_type ILIKE '%CK' GROUP BY event_type")
 text("q89_lateral", "customer orders", "SELECT c_custkey, t.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t WHERE c_nationkey = 3")
 text("q90_recursive", "region", "WITH RECURSIVE f(n, a, b) AS (SELECT 1, CAST(0 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 40) SELECT n, a FROM f")
 text("q91_interval", "events", "SELECT count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL '3 days' AND ts < TIMESTAMP '2024-01-30 00:00:00'")
