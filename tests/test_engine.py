@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +151,26 @@ def test_settings(tmp_path, monkeypatch):
         config.from_dict({"host": "h"})
     made = config.create_example_config(str(tmp_path / "example.yaml"))
     assert config.from_file(made)["database"]["port"] == 5432
+
+
+def test_first_rows_of_lateral_subqueries(spark):
+    """The rows of an outer row are numbered in their order, not as an exchange happens to bring them."""
+    e = Engine(spark, database="lateral")
+    e.view("a", spark.createDataFrame([(1,), (2,), (3,), (1,), (None,)], "k long"))
+    e.view("b", spark.createDataFrame([(1, 10, 1.0), (1, 11, 2.0), (1, 12, 3.0), (2, 20, 5.0), (2, 21, 5.0), (None, 1, 1.0), (1, 13, None)], "k long, v long, p double"))
+    rows = {
+        "SELECT v AS x FROM b WHERE b.k = a.k ORDER BY p DESC, v LIMIT 2": [(1, 11), (1, 11), (1, 12), (1, 12), (2, 20), (2, 21)],
+        "SELECT v AS x FROM b WHERE b.k = a.k ORDER BY p DESC, v LIMIT 1 OFFSET 1": [(1, 11), (1, 11), (2, 21)],
+        "SELECT -v AS x FROM b WHERE b.k = a.k ORDER BY x LIMIT 1": [(1, -13), (1, -13), (2, -21)],
+        "SELECT v AS x FROM b WHERE b.k = a.k ORDER BY 1 DESC LIMIT 1": [(1, 13), (1, 13), (2, 21)],
+        "SELECT DISTINCT p AS x FROM b WHERE b.k = a.k ORDER BY x DESC LIMIT 1": [(1, 3.0), (1, 3.0), (2, 5.0)],
+    }
+    for inner, expected in rows.items():
+        found = e.sql(f"SELECT a.k, t.x FROM a, LATERAL ({inner}) t")
+        assert sorted(tuple(r) for r in found.collect()) == expected
+        windows = re.findall(r"windowspecdefinition\((.*?)specifiedwindowframe", found._jdf.queryExecution().optimizedPlan().toString())
+        assert windows and all(" ASC " in w or " DESC " in w for w in windows)
+    with pytest.raises(ValueError, match="LATERAL"):
+        e.sql("SELECT a.k, t.p FROM a, LATERAL (SELECT DISTINCT p FROM b WHERE b.k = a.k ORDER BY 1 LIMIT 1) t")
+    e.close()
+    e.drop_database("lateral")
