@@ -163,14 +163,20 @@ def q61_refusals(spark, sf):
 
 @query("SELECT count(*) AS fetched, count(*) AS counted, max(o_totalprice) AS most FROM orders WHERE o_orderstatus = 'P'")
 def q62_execute_rows(spark, sf):
-    """Rows as dicts and as tuples; a statement that is not fetched gives none."""
+    """Rows as dicts and as tuples, one by one; a statement that is not fetched gives none."""
     e = engine(spark)
     e.view("orders_now", read(spark, sf, "orders"))
     text = "SELECT o_orderkey, o_totalprice FROM orders_now WHERE o_orderstatus = %s"
-    dicts, tuples = e.execute(text, ("P",), fetch=True), e.execute(text, ("P",), fetch=True, dict_cursor=False)
     if e.execute(text, ("P",)) is not None:
         raise ValueError("rows were fetched")
-    out = spark.createDataFrame([(len(dicts), len(tuples), max(max(r["o_totalprice"] for r in dicts), max(r[1] for r in tuples)))], "fetched long, counted long, most double")
+    counts, most = [], None
+    for dict_cursor, price in ((True, "o_totalprice"), (False, 1)):
+        n = 0
+        for n, row in enumerate(e.execute(text, ("P",), fetch=True, dict_cursor=dict_cursor, stream=True), 1):
+            if (x := row[price]) is not None and (most is None or x > most or x != x):  # NaN is the most
+                most = x
+        counts.append(n)
+    out = spark.createDataFrame([(*counts, most)], "fetched long, counted long, most double")
     e.close()
     return out
 

@@ -10,10 +10,10 @@ import json
 import logging
 import re
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from helioframe.operators import relational
@@ -126,12 +126,16 @@ class Engine:
                 rows += [(self.database, schema, t, c["column_name"], i, c["data_type"], c["max_length"], c["is_nullable"], c["default_value"]) for i, c in enumerate(self.describe_table(t, schema), 1)]
         return self.spark.createDataFrame(rows, "table_catalog string, table_schema string, table_name string, column_name string, ordinal_position int, data_type string, character_maximum_length int, is_nullable string, column_default string")
 
-    def execute(self, query: str, params: Any = None, fetch: bool = False, dict_cursor: bool = True) -> list | None:
-        """Runs a query; with fetch, its rows as dicts or tuples."""
+    def execute(self, query: str, params: Any = None, fetch: bool = False, dict_cursor: bool = True, stream: bool = False) -> list | Iterator | None:
+        """Runs a query; with fetch, its rows as dicts or tuples. With stream they come one by one, and the driver holds
+        those of one partition at a time; else all of them, as a list."""
         out = self.sql(query, params)
         if not fetch:
             return None
-        rows = [r.asDict() if dict_cursor else tuple(r) for r in out.collect()]
+        shape = Row.asDict if dict_cursor else tuple
+        if stream:
+            return map(shape, out.toLocalIterator())
+        rows = [shape(r) for r in out.collect()]
         self._say("%d rows", len(rows))
         return rows
 

@@ -174,3 +174,22 @@ def test_first_rows_of_lateral_subqueries(spark):
         e.sql("SELECT a.k, t.p FROM a, LATERAL (SELECT DISTINCT p FROM b WHERE b.k = a.k ORDER BY 1 LIMIT 1) t")
     e.close()
     e.drop_database("lateral")
+
+
+def test_rows_one_by_one(spark, monkeypatch, tmp_path):
+    """A stream of rows is never collected whole; the query over it takes no rows, nulls and NaN."""
+    from helioframe.changes import q62_execute_rows
+
+    e = Engine(spark, database="stream")
+    e.view("many", spark.range(0, 20_000, 1, 8))
+    rows = e.execute("SELECT id, id * 2 AS d FROM many WHERE id >= %s", (5,), fetch=True, stream=True)
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(1)), "collect", lambda self: pytest.fail("collected"))
+        assert next(rows) == {"id": 5, "d": 10} and sum(1 for _ in rows) == 19_994
+        assert next(e.execute("SELECT id FROM many", fetch=True, dict_cursor=False, stream=True)) == (0,)
+    e.close()
+    e.drop_database("stream")
+    for at, (prices, expected) in enumerate([([], (0, 0, None)), ([None], (1, 1, None)), ([1.0, None, 3.0], (3, 3, 3.0)), ([1.0, float("nan"), 3.0], (3, 3, None))]):
+        spark.createDataFrame([(i, "P", p) for i, p in enumerate(prices)], "o_orderkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/{at}/orders.parquet")
+        found = tuple(q62_execute_rows(spark, f"{tmp_path}/{at}").first())
+        assert tuple(None if x != x else x for x in found) == expected
