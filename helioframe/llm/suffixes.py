@@ -5,15 +5,21 @@ them, front-coded (length shared with the one before, and the rest), to ranges o
 its runs with a loser tree whose nodes keep the prefix they share with the last output, so that known prefixes are
 never compared again. Equal neighbours are one string, and its least document keeps it.
 
+Copies are collapsed before the sort, so that a corpus of many copies costs little more than one. Texts are cut where
+their content says so, into segments that reach LENGTH - 1 bytes into the next one, so that each window lies in the
+segment where it starts. Of equal segments, those of the least document stay; in later documents all windows of the
+segment have an earlier holder, so their bytes go and the windows take no further part. The least holder of a window is
+never in such a segment, so what remains decides all other windows as before.
+
 Only suffixes that can have an equal in another document are sent. Every LENGTH-byte window selects the GRAM-byte
 piece of least hash in it, its anchor; equal windows select the same one. Neighbouring windows with one anchor form a
 block. A first exchange of anchor hashes tells each block whether its anchor occurs in several documents;
 else none of its windows can. A block is sent as the suffix that starts at its anchor, followed by what stands before
 the anchor. The order is by four bytes hashed from the anchor, then by the string: so all ranges are alike long, however
 many there are, and no splitters are needed. In the merged order the blocks of an anchor are neighbours that share GRAM
-bytes: equal ones are decided whole, and where they differ, by a table of their windows. Anchors with very many
-different blocks send single windows instead, which the order deals over many ranges. Hashes only decide what is sent
-and where; equality is decided on bytes.
+bytes: equal ones are decided whole; where a few differ, by what they share on both sides of the anchor, and where many do, by a table of their windows. Anchors with very many
+different blocks send single windows instead, which the order deals over many ranges. The hashes of anchors and blocks
+only decide what is sent and where; equality of strings is decided on bytes, that of segments by BLAKE2 digests of 128 bits.
 """
 
 from __future__ import annotations
@@ -33,12 +39,17 @@ from pyspark.sql import functions as F
 
 from helioframe.llm.common import ship, stage
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # anchors that a window chooses from
 #: Text bytes of a chunk, entries of a hash bucket and of a range aimed at, bytes hashed at a time.
 CHUNK, BUCKET, RANGE, PIECE = 8 << 20, 1 << 18, 100_000, 1 << 20
+#: A text is cut at one place in SEGMENT, but not within SHORT bytes of a place just before.
+SEGMENT, SHORT = 256, 64
+_ENTRY = np.dtype([("high", "<u8"), ("low", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("size", "<i4")])
 #: An anchor with more block kinds than MANY in one chunk, or CROWD entries in all, sends single windows.
 MANY, CROWD = 8, 5000
+#: So many different blocks of one anchor are compared with one another; more, by a table of their windows.
+FEW = 4
 #: A string begins with four bytes that say where it lies in the order, and one that says what it is.
 _ANCHORED, _SINGLE, HEAD = b"\0", b"\1", 5
 #: Bits of a block's hash that tell blocks of one anchor apart; those that still share a class are told apart by bytes.
@@ -78,8 +89,79 @@ def _chunks(size: int):
     return run
 
 
-def _blocks(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor hash, block hash, first window, last window, place of the anchor) of every block of a chunk, in order of place."""
+def _cuts(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, size) of the segments of a chunk's texts that have windows."""
+    found = [np.r_[0, ends[:-1]]]
+    for at in range(0, len(text), PIECE):
+        piece = np.zeros(min(len(text), at + PIECE + GRAM) - at + 8, np.uint8)
+        piece[:-8] = text[at : at + PIECE + GRAM]
+        eight = np.ndarray((len(piece) - 7,), "<u8", piece, 0, (1,))
+        n = min(len(text), at + PIECE) - at - GRAM
+        if n > 0:
+            h = (eight[:n] * _M1 ^ eight[8 : 8 + n]) * _M2
+            found.append(np.flatnonzero((h ^ (h >> np.uint64(32))) * _M3 >> np.uint64(32) < (1 << 32) // SEGMENT) + at)
+    cut = np.concatenate(found[1:] or [np.empty(0, np.int64)])
+    cut = np.unique(np.r_[found[0], cut[np.diff(cut, prepend=-SHORT) >= SHORT]])
+    cut = cut[cut < len(text)]
+    stop = np.minimum(np.r_[cut[1:], len(text)] + LENGTH - 1, ends[np.searchsorted(ends, cut, "right")] if len(cut) else 0)
+    full = stop - cut >= LENGTH
+    return cut[full], (stop - cut)[full]
+
+
+def _segments(buckets: int):
+    """Each chunk's segments by buckets of their digests: those of the least document of the chunk that has them; and the
+    (place, length) of the later documents', which go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, ids, ends, blob in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "ends", "text"))):
+                text, ends = zstandard.ZstdDecompressor().decompress(blob) if blob else b"", np.frombuffer(ends, "<i8")
+                at, size = _cuts(np.frombuffer(text, np.uint8), ends)
+                if not len(at):
+                    continue
+                e = np.empty(len(at), _ENTRY)
+                digests = b"".join([hashlib.blake2b(text[a:z], digest_size=16).digest() for a, z in zip(at.tolist(), (at + size).tolist())])
+                e["high"], e["low"] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+                e["at"], e["size"], e["doc"] = at, size, np.frombuffer(ids, "<i8")[np.searchsorted(ends, at, "right")]
+                e, later = _later(e)
+                own = np.stack([e["at"][later], e["size"][later]], 1).astype("<i4").tobytes()
+                e = e[~later]
+                of = ((e["high"] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+                cut = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(e)]
+                rows = [(int(of[a]), chunk, e[a:z].tobytes(), b"" if a else own) for a, z in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "chunk", "data", "own"])
+
+    return run
+
+
+def _later(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Segments by digest, and which of them a smaller document has."""
+    e = e[np.lexsort((e["doc"], e["low"], e["high"]))]
+    new = np.r_[True, (e["high"][1:] != e["high"][:-1]) | (e["low"][1:] != e["low"][:-1])]
+    return e, e["doc"] > e["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
+
+
+def _copies(table: pa.Table) -> pa.Table:
+    """For one bucket: each chunk's (place, length) of segments that a smaller document has, and its own ones handed on."""
+    blobs, own = table.column("data").to_pylist(), table.column("own").to_pylist()
+    chunk = np.repeat(np.arange(len(blobs)), [len(x) // _ENTRY.itemsize for x in blobs])
+    e = np.frombuffer(b"".join(blobs), _ENTRY)
+    del blobs
+    order = np.lexsort((e["doc"], e["low"], e["high"]))
+    e, chunk = e[order], chunk[order]
+    e, later = _later(e)  # sorted already, and the sort is stable
+    chunk, spans = chunk[later], np.stack([e["at"][later], e["size"][later]], 1).astype("<i4")
+    order = np.argsort(chunk, kind="stable")
+    cut, spans = np.searchsorted(chunk[order], np.arange(len(own) + 1)), spans[order]
+    spans = [x + spans[a:z].tobytes() for x, a, z in zip(own, cut[:-1], cut[1:])]
+    return pa.table({"chunk": table.column("chunk").cast(pa.int64()), "spans": pa.array(spans, pa.binary())})
+
+
+def _blocks(text: np.ndarray, ends: np.ndarray, live: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(anchor hash, block hash, first window, last window, place of the anchor) of every block of a chunk, in order of place.
+
+    live: which windows count; a block ends where they do.
+    """
     out: list[tuple[np.ndarray, ...]] = []
     # Each window is hashed in the piece where it starts. A block that a piece's end cuts is two blocks, both with
     # their anchor; their windows still meet those of whole blocks, as the anchor then has blocks that differ.
@@ -108,7 +190,12 @@ def _blocks(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         reach = np.searchsorted(ends, [at, at + n - 1], "right")
         doc = np.repeat(np.arange(reach[0], reach[1] + 1), np.diff(np.r_[at, np.minimum(ends[reach[0] : reach[1]], at + n), at + n]))
         ok = place + LENGTH <= ends[np.minimum(doc, len(ends) - 1)]
-        turn = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
+        new = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+        if live is not None:
+            own = live[at : at + n]
+            ok &= own
+            new |= own[1:] != own[:-1]
+        turn = np.flatnonzero(np.r_[True, new])
         stop = np.r_[turn[1:], n]
         full = np.add.reduceat(ok.astype(np.int64), turn)  # valid windows lead a run
         turn, stop = turn[full > 0], (turn + full)[full > 0]
@@ -126,10 +213,16 @@ def _blocks(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
 class _Chunk:
     """A chunk's blocks grouped by (anchor, block) hash; the same on every reading."""
 
-    def __init__(self, ids: bytes, ends: bytes, text: bytes, bits: int, many: int) -> None:
+    def __init__(self, ids: bytes, ends: bytes, text: bytes, copies: list[bytes] | None, bits: int, many: int) -> None:
         self.ids, self.ends = np.frombuffer(ids, "<i8"), np.frombuffer(ends, "<i8")
         self.text = zstandard.ZstdDecompressor().decompress(text) if len(text) else b""
-        anchor, block, self.first, self.last, self.at = _blocks(np.frombuffer(self.text, np.uint8), self.ends)
+        live, spans = None, np.frombuffer(b"".join(copies or []), "<i4").reshape(-1, 2)
+        if len(spans):
+            turn = np.zeros(len(self.text) + 1, np.int8)  # segments share no windows: one may begin where another ends
+            turn[spans[:, 0]] += 1
+            turn[spans.sum(axis=1) - (LENGTH - 1)] -= 1
+            live = np.cumsum(turn[:-1], dtype=np.int8) == 0
+        anchor, block, self.first, self.last, self.at = _blocks(np.frombuffer(self.text, np.uint8), self.ends, live)
         self.doc = self.ids[np.searchsorted(self.ends, self.first, "right")] if len(self.first) else self.first
         anchor = anchor >> np.uint64(64 - bits)
         key = anchor << np.uint64(BLOCK_BITS) | block & np.uint64((1 << BLOCK_BITS) - 1)
@@ -160,8 +253,8 @@ def _hashes(bits: int, buckets: int, many: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for chunk, ids, ends, text in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "ends", "text"))):
-                c = _Chunk(ids, ends, text, bits, many)
+            for chunk, ids, ends, text, copies in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "ends", "text", "copies"))):
+                c = _Chunk(ids, ends, text, copies, bits, many)
                 a = c.anchor[c.sent]
                 at = np.r_[np.searchsorted(a, np.array([(i << bits) // buckets for i in range(buckets)], np.uint64)), len(a)]
                 rows = {"bucket": [], "chunk": [], "data": []}
@@ -237,8 +330,8 @@ def _suffixes(bits: int, ranges: int, many: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for chunk, ids, ends, text, answers in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "ends", "text", "answers"))):
-                c = _Chunk(ids, ends, text, bits, many)
+            for chunk, ids, ends, text, copies, answers in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "ends", "text", "copies", "answers"))):
+                c = _Chunk(ids, ends, text, copies, bits, many)
                 send, single = np.zeros(len(c.head), bool), np.zeros(len(c.head), bool)
                 at = 0
                 for x in sorted(answers or [], key=lambda x: x["bucket"]):
@@ -386,6 +479,24 @@ def merge(runs: list[_Run]) -> Iterator[tuple[int, int]]:
             node >>= 1
 
 
+def _pairs(blocks: list[tuple[bytes, int, int, int, int]], gone: list[list[tuple[int, int]]]) -> None:
+    """The windows that each two blocks of one anchor share are those within the bytes they share around it."""
+    for i, (s, left, d, r, p) in enumerate(blocks):
+        for t, other, e, q, o in blocks[i + 1 :]:
+            after, before = min(len(s) - left, len(t) - other), min(left, other)
+            if d == e or after + before < HEAD + LENGTH:
+                continue
+            after = min(after, _common(s, t, HEAD + GRAM))
+            if after + before < HEAD + LENGTH:
+                continue
+            before = _common(s[: -before - 1 : -1], t[: -before - 1 : -1], 0) if before else 0
+            if after + before >= HEAD + LENGTH:
+                if d > e:
+                    gone[r].append((p + left - before, after - HEAD + before))
+                else:
+                    gone[q].append((o + other - before, after - HEAD + before))
+
+
 def _decide(group: list[tuple[bytes, int, int, int, int]], gone: list[list[tuple[int, int]]]) -> None:
     """Which bytes of a group's entries (string, before, document, run, place) an earlier document has: all blocks of one
     anchor, or equal single windows."""
@@ -405,6 +516,9 @@ def _decide(group: list[tuple[bytes, int, int, int, int]], gone: list[list[tuple
                 leaders.append(x)
     if len(classes) == 1:
         return
+    if len(leaders) <= FEW:
+        _pairs(leaders, gone)
+        return
     # By ascending document, the first one that puts a window in is the least that has it.
     windows: dict[bytes, int] = {}
     for string, before, d, r, p in sorted(leaders, key=lambda x: x[2]):
@@ -521,10 +635,15 @@ def dedup(docs: DataFrame, with_text: bool = True, chunk: int = CHUNK, many: int
     ship(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     chunks = stage(rows.where("doc_id is not null").mapInArrow(_chunks(chunk), _CHUNK), "chunks")
-    total = chunks.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = chunks.agg(F.sum(F.octet_length("text")).alias("text"), F.sum(F.octet_length("ids")).alias("ids")).first()
+    total = size["text"] or 0
     bits = min(64 - BLOCK_BITS, 20 + max(1, math.ceil(math.log2(3 * total + 2))))
-    buckets = max(1, round(3 * total / 18 / BUCKET))
-    texts = chunks.select("chunk", "ids", "ends", "text")
+    # A row for each chunk and bucket: of large tables the buckets are larger, so that there are fewer rows.
+    buckets = max(1, round(3 * total / 18 / BUCKET / 4), min(16, round(3 * total / 18 / BUCKET)))
+    parts = chunks.select("chunk", "ids", "ends", "text").mapInArrow(_segments(max(1, round((3 * total / SEGMENT + (size["ids"] or 0) / 8) / BUCKET))), "bucket int, chunk long, data binary, own binary")
+    copies = stage(parts.groupBy("bucket").applyInArrow(_copies, "chunk long, spans binary").where("octet_length(spans) > 0"), "copies")
+    # By merge at all sizes, as the spans are too many to broadcast when the table is large.
+    texts = chunks.select("chunk", "ids", "ends", "text").join(copies.groupBy("chunk").agg(F.collect_list("spans").alias("copies")).hint("merge"), "chunk", "left")
     sent = texts.mapInArrow(_hashes(bits, buckets, many), "bucket int, chunk long, data binary")
     answers = stage(sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, crowd), "chunk long, bucket int, n long, bits binary, weight long"), "answers")
     weight = answers.agg(F.sum("weight")).first()[0] or 0
@@ -536,7 +655,7 @@ def dedup(docs: DataFrame, with_text: bool = True, chunk: int = CHUNK, many: int
     dealt = runs.withColumn("key", F.element_at(F.from_json(F.lit(str(key)), "array<int>"), (F.pmod("range", F.lit(tasks)) + 1).cast("int")))
     dealt = dealt.repartition(tasks, "key").sortWithinPartitions("range").select("range", "chunk", "data")
     merged = stage(dealt.mapInArrow(_merges, "chunk long, spans binary"), "merged", [answers])
-    spans = merged.groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
+    spans = merged.unionByName(copies).groupBy("chunk").agg(F.collect_list("spans").alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     done = chunks.join(spans, "chunk", "left").select("ids", "ends", "text", "spans").mapInArrow(_finish(with_text), schema)
     raw = F.encode(F.coalesce("text", F.lit("")), "utf-8")

@@ -201,6 +201,43 @@ def test_blocks_cover_every_window(monkeypatch):
         assert ((at >= last) & (at + suffixes.GRAM <= first + suffixes.LENGTH)).all()
 
 
+def test_copies_are_not_sorted(spark, monkeypatch):
+    """Of many copies of texts only the first ones' strings are sent on, and the bytes that copies and near copies lose are right."""
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(400)) for _ in range(20)]
+    near = texts[0][:900] + "#" + texts[0][900:]
+    copies = [(100 * k + i, t) for k in range(8) for i, t in enumerate(texts)] + [(900, near), (901, "#" + near)]
+    sent = []
+    monkeypatch.setattr(suffixes, "stage", lambda df, name, done=(): (sent.append(df.agg(F.sum("weight")).first()[0]) if name == "answers" else None) or common.stage(df, name, done))
+    got = {x["doc_id"]: x for x in suffixes.dedup(spark.createDataFrame(copies, "doc_id long, text string").repartition(4), chunk=5000).collect()}
+    assert sent[0] < 300  # eight times as many, if copies were sent
+    assert all(got[d]["n_removed"] == (0 if d < 100 else len(t)) for d, t in copies[:160])
+    assert bytes(got[900]["kept"]) == b"#" and bytes(got[901]["kept"]) == b"#"
+
+
+def test_pairs_and_table_agree(monkeypatch):
+    """Blocks of one anchor: what two share around it are the windows they share."""
+    r, anchor = random.Random(8), bytes(range(suffixes.GRAM))
+    for _ in range(300):
+        base, blocks = bytes(r.choice(b"ab") for _ in range(80)), []
+        for k in range(r.randint(2, suffixes.FEW)):
+            before, after = r.randint(0, suffixes.SPAN - 1), r.randint(0, suffixes.SPAN - 1)
+            after = max(after, suffixes.LENGTH - suffixes.GRAM - before)
+            left, right = bytearray(base[40 - before : 40]), bytearray(base[40 : 40 + after])
+            for side in (left, right):
+                if side and r.random() < 0.5:
+                    side[r.randrange(len(side))] ^= 1
+            blocks.append((b"0000\0" + anchor + bytes(right) + bytes(left), before, r.randint(1, 3), k, 100 * k))
+        found = []
+        for few in (suffixes.FEW, 0):
+            monkeypatch.setattr(suffixes, "FEW", few)
+            gone = [[] for _ in blocks]
+            suffixes._decide(list(blocks), gone)
+            found.append([{p for a, n in x for p in range(a, a + n)} for x in gone])
+            monkeypatch.undo()
+        assert found[0] == found[1]
+
+
 def test_merge_orders_runs():
     r = random.Random(2)
     runs = [sorted(bytes(r.choice(b"ab") for _ in range(r.randint(3, 8))) for _ in range(r.randint(1, 40))) for _ in range(7)]
